@@ -121,15 +121,15 @@ def oracle_sql(table: str = "documents") -> str:
                           for name, least, most in THRESHOLDS for a, b in [named[name]])
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM {table}),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 t AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM t),
 r AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM g, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id),
-c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
-        len(list_filter(ws, x -> lower(rtrim(x, '{MARKS}')) IN ({stops}))) AS n_stop_words,
+        len(list_filter(ws, lambda x: lower(rtrim(x, '{MARKS}')) IN ({stops}))) AS n_stop_words,
         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
       FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AS base_failed FROM c)
