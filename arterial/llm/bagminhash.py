@@ -12,8 +12,8 @@ beyond the value by which all registers are filled can't matter, so a text costs
 Groups. (1) Equal word sequences are one text, represented by its least doc_id. (2) Bands of registers put texts into
 buckets; each text is checked exactly against its bucket's least member, and links make components. (3) Buckets that
 still hold several components compare all pairs across components: blocks of a bucket's members against blocks, by their
-signatures (registers cut to a byte), and exact checks of those that come near. Pairs inside one component need no
-check: they can't change the classes. So no link between different texts is lost once they share a bucket, and no group
+signatures (registers cut to a byte), and exact checks of those that come near; first of the likeliest pair of each two
+components, then of every pair still across. Pairs inside one component need no check: they can't change the classes. So no link between different texts is lost once they share a bucket, and no group
 is ever expanded into all of its pairs.
 
 Buckets are found by counts combined before the shuffle; rows of a hot bucket are joined by sort-merge joins that
@@ -37,8 +37,8 @@ BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 #: A pair at the similarity misses all buckets with probability (1 - s**ROWS)**BANDS = 3e-6.
 BLOCK = 256
-#: Share of equal registers from which a pair across components is checked exactly: 4.8 standard deviations below.
-NEAR = 0.68
+#: Share of equal registers from which a pair across components is checked exactly: 4 standard deviations below.
+NEAR = 0.70
 _SIG = "doc_id long, fp1 long, fp2 long, size long, bands array<long>, registers binary"
 
 
@@ -221,27 +221,67 @@ def components(spark, links, rounds: int = 60):
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), edges
 
 
-def _across(batches, block: int):
-    """Pairs of different components within a bucket's pair of blocks, whose registers agree often enough."""
+def _across(batches, best: bool, least: float):
+    """Pairs of different components within a bucket's pair of blocks, whose registers agree often enough.
+
+    A pair comes from the first band that it shares and from no other. best: of each two components only the pair that
+    agrees most.
+    """
     import pyarrow as pa
 
     quiet_worker()
     for batch in batches:
-        out_a, out_b = [], []
+        out: list[tuple[int, int]] = []
         for row in batch.to_pylist():
             left, right = row["left"], row["right"] or row["left"]
             x = np.frombuffer(b"".join(m["registers"] for m in left), np.uint8).reshape(len(left), -1)
             y = np.frombuffer(b"".join(m["registers"] for m in right), np.uint8).reshape(len(right), -1)
-            ids_x, ids_y = np.array([m["doc_id"] for m in left]), np.array([m["doc_id"] for m in right])
-            root_x, root_y = np.array([m["root"] for m in left]), np.array([m["root"] for m in right])
+            ids_x, ids_y = [m["doc_id"] for m in left], [m["doc_id"] for m in right]
+            root_x, root_y = [m["root"] for m in left], np.array([m["root"] for m in right])
+            size = np.array([m["size"] for m in right], float)
+            top: dict[tuple[int, int], tuple[float, int, int]] = {}
             for i in range(len(left)):
-                near = ((y == x[i]).mean(1) >= NEAR) & (root_y != root_x[i])
+                same = y == x[i]
+                share = same.mean(1)
+                # the smaller total over the larger bounds the similarity
+                most = np.minimum(size, left[i]["size"]) / np.maximum(size, left[i]["size"])
+                near = (share >= NEAR) & (root_y != root_x[i]) & (most >= least - 1e-9)
                 if row["right"] is None:
                     near[: i + 1] = False
-                for j in np.flatnonzero(near):
-                    out_a.append(min(int(ids_x[i]), int(ids_y[j])))
-                    out_b.append(max(int(ids_x[i]), int(ids_y[j])))
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                near = np.flatnonzero(near)
+                first = same[near].reshape(len(near), BANDS, ROWS).all(2).argmax(1)
+                for j in near[first == row["band"]].tolist():
+                    pair = (min(ids_x[i], ids_y[j]), max(ids_x[i], ids_y[j]))
+                    if not best:
+                        out.append(pair)
+                        continue
+                    roots = (min(root_x[i], int(root_y[j])), max(root_x[i], int(root_y[j])))
+                    one = (-float(share[j]), *pair)
+                    top[roots] = min(top.get(roots, one), one)
+            out += [one[1:] for one in top.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
+
+def _candidates(spark, members, roots, registers, known, best: bool, least: float):
+    """Unchecked pairs across components that share a bucket: (pairs, tables to discard)."""
+    from pyspark.sql import functions as F
+
+    rooted = members.join(roots, "doc_id", "left").select("bucket", "band", "n", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rooted = materialize(spark, rooted, "rooted")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    # blocks of a bucket's members, and every pair of its blocks
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = rooted.join(mixed, "bucket", "left_semi").select("bucket", "band", "doc_id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
+    member = F.struct("doc_id", "root", "size", "registers").alias("m")
+    # a block of a bucket is about BLOCK rows: it is bounded, and only it is ever collected
+    grouped = placed.join(registers, "doc_id").groupBy("bucket", "band", "blocks", "block").agg(F.collect_list(member).alias("members"))
+    grouped = materialize(spark, grouped, "blocks")
+    nothing = F.lit(None).cast(grouped.schema["members"].dataType)
+    own = grouped.where(F.size("members") > 1).select("band", F.col("members").alias("left"), nothing.alias("right"))
+    left = grouped.where("blocks > 1").select("bucket", "band", F.col("members").alias("left"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block < other")
+    cross = left.join(grouped.select("bucket", F.col("block").alias("other"), F.col("members").alias("right")), ["bucket", "other"]).select("band", "left", "right")
+    found = own.unionByName(cross).mapInArrow(partial(_across, best=best, least=least), "a long, b long").distinct()
+    return found.join(known, ["a", "b"], "left_anti"), [rooted, grouped]
 
 
 def near_duplicates(spark, docs, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY):
@@ -253,44 +293,36 @@ def near_duplicates(spark, docs, id_col: str = "doc_id", text_col: str = "text",
     signed = materialize(spark, two.where("doc_id is not null").mapInArrow(_signed, _SIG), "signatures")
     copies = materialize(spark, signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "copies")
     reps = signed.join(copies.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi").where("size > 0")
-    rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(spark, rows.join(buckets, "bucket").select("bucket", "hub", "n", "doc_id"), "members")
-
-    pairs = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    members = materialize(spark, rows.join(buckets, "bucket").select("bucket", "band", "hub", "n", "doc_id"), "members")
+    # one text, and one signature, per id of those in any bucket
     some = members.select("doc_id").distinct()
-    # one text per id, of those in any bucket only
     texts = materialize(spark, two.join(some, "doc_id", "left_semi"), "texts")
-    checked = materialize(spark, _check(pairs, texts, least), "checked")
-    roots, edges = components(spark, checked)
-
-    rooted = members.join(roots, "doc_id", "left").select("bucket", "n", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    rooted = materialize(spark, rooted, "rooted")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    mixed = rooted.join(mixed, "bucket", "left_semi")
-    # blocks of a bucket's members, and every pair of its blocks
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    placed = mixed.select("bucket", "doc_id", "root", blocks.alias("blocks"), block.alias("block"))
-    placed = placed.join(signed.select("doc_id", "registers").dropDuplicates(["doc_id"]), "doc_id")
-    member = F.struct("doc_id", "root", "registers").alias("m")
-    # a block of a bucket is about BLOCK rows: it is bounded, and only it is ever collected
-    grouped = materialize(spark, placed.groupBy("bucket", "blocks", "block").agg(F.collect_list(member).alias("members")), "blocks")
-    own = grouped.where(F.size("members") > 1).select(F.col("members").alias("left"), F.lit(None).cast(grouped.schema["members"].dataType).alias("right"))
-    left = grouped.where("blocks > 1").select("bucket", F.col("members").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block").where("block < other")
-    cross = left.join(grouped.select("bucket", F.col("block").alias("other"), F.col("members").alias("right")), ["bucket", "other"]).select("left", "right")
-    found = own.unionByName(cross).mapInArrow(partial(_across, block=BLOCK), "a long, b long").distinct()
-    found = found.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(spark, _check(found, texts, least), "checked")
-    links = materialize(spark, checked.unionByName(more), "links")
-    final, edges2 = components(spark, links)
+    registers = signed.join(some, "doc_id", "left_semi").select("doc_id", "size", "registers").dropDuplicates(["doc_id"])
+
+    asked = materialize(spark, members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "asked")
+    links = materialize(spark, _check(asked, texts, least), "links")
+    final, edges = components(spark, links)
+    spent = [signed, copies, members, texts, asked, links, edges]
+    # first the likeliest pair of each two components, which joins most of them; then every pair that is left
+    for best in (True, False):
+        pairs, tables = _candidates(spark, members, final, registers, asked, best, least)
+        pairs = materialize(spark, pairs, "pairs")
+        more = materialize(spark, _check(pairs, texts, least), "links")
+        spent += [*tables, pairs, more]
+        asked = asked.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            final, edges = components(spark, links)
+            spent.append(edges)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     by_rep = copies.join(final.withColumnRenamed("doc_id", "rep"), "rep", "left").join(degree, "rep", "left")
     by_rep = by_rep.select("fp1", "fp2", "rep", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = signed.select("doc_id", "fp1", "fp2").join(by_rep, ["fp1", "fp2"]).select("doc_id", "class_id", F.col("rep").alias("copy_of"), "n_links")
     out = materialize(spark, out, "classes")
-    discard(spark, signed, copies, members, texts, checked, edges, rooted, grouped, more, links, edges2)
+    discard(spark, *spent)
     return out
 
 
