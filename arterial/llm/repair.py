@@ -51,19 +51,23 @@ def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST)
         if len(often) > room:
             often = often[np.argsort(-count[often], kind="stable")[:room]]
         pairs = np.sort(order[edge[often]])
-        left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-        left[pairs >> np.uint32(16)] = True
-        right[pairs & np.uint32(0xFFFF)] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        found = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
-        hit = pairs[found] == key[at]
-        at, found = at[hit], found[hit]
+        # where each chosen pair occurs, by a table over the left and right symbols that take part
+        lefts, rights = np.unique(pairs >> np.uint32(16)), np.unique(pairs & np.uint32(0xFFFF))
+        left, right = np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS, np.int32)
+        left[lefts], right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+        wide = len(rights) + 1
+        table = np.full((len(lefts) + 1) * wide, -1, np.int32)
+        table[left[pairs >> np.uint32(16)] * wide + right[pairs & np.uint32(0xFFFF)]] = np.arange(len(pairs))
+        found = table[(left * wide)[seq[:-1]] + right[seq[1:]]]
+        at = np.flatnonzero(found >= 0)
+        found = found[at]
         # neighbours overlap: of each run of adjacent hits take every second, from the left
         new_run = np.concatenate(([True], at[1:] != at[:-1] + 1))
         start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - start) % 2 == 0
         at, found = at[take], found[take]
-        used, found = np.unique(found, return_inverse=True)
+        used = np.bincount(found, minlength=len(pairs)) > 0
+        found = (np.cumsum(used) - 1)[found]
         chosen = pairs[used]
         seq[at] = found.astype(np.uint32) + np.uint32(base + len(rules))
         keep = np.ones(len(seq), bool)

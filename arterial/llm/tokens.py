@@ -52,6 +52,14 @@ def encoder(kind: type, path: str):
     return _KEPT[key]
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class ChunkEncoder:
     """ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -61,6 +69,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize
         self.words = self.tokenizer.normalizer is not None
         self.chunks = _WORD_CHUNK if self.words else _BYTE_CHUNK
         self.letters = {b: chr(c) for b, c in _byte_letters().items()}
@@ -74,14 +83,14 @@ class ChunkEncoder:
 
     def _cut(self, chunk: str) -> bytes:
         """ids of a chunk; letters and the marks after them are encoded apart, as both vocabularies split them."""
-        if both := _MARKED.fullmatch(chunk):
-            return self._known(both[1]) + self._known(both[2])
         if _SIMPLE.fullmatch(chunk):
             word = chunk.lower() if self.words else chunk
             word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             if word[0] == " ":
                 word = "\u0120" + word[1:]
-            return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+            return array("I", [t.id for t in self.merge(word)]).tobytes()
+        if both := _MARKED.fullmatch(chunk):
+            return self._known(both[1]) + self._known(both[2])
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def _known(self, chunk: str) -> bytes:
@@ -110,9 +119,10 @@ class ChunkEncoder:
     def _encode(self, text: str) -> bytes:
         if self.whole(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        plain = text.split()
         if self.words:
-            return self._join(self.cache, plain)
+            # that vocabulary lowers everything; of Latin-1 letters Python does so in the same way
+            return self._join(self.cache, (text.lower() if _latin(text) else text).split())
+        plain = text.split()
         if len(plain) != text.count(" ") + text.count("\n") + 1:
             return self._join(self.cache, self.chunks.findall(text))
         # single spaces and line feeds only: every word but a line's first takes the space before it
@@ -123,11 +133,10 @@ class ChunkEncoder:
         return self._known("\n").join(out)
 
     def _join(self, table: dict, chunks, before: str = "") -> bytes:
-        try:
-            return b"".join(map(table.__getitem__, chunks))
-        except KeyError:
-            self._learn(table, {c for c in chunks if c not in table}, before)
-            return b"".join(map(table.__getitem__, chunks))
+        missing = set(chunks).difference(table)
+        if missing:
+            self._learn(table, missing, before)
+        return b"".join(map(table.__getitem__, chunks))
 
 
 class OffsetEncoder(ChunkEncoder):
