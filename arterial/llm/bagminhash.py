@@ -12,7 +12,7 @@ beyond the value by which all registers are filled can't matter, so a text costs
 Groups. (1) Equal word sequences are one text, represented by its least doc_id. (2) Bands of registers put texts into
 buckets; each text is checked exactly against its bucket's least member, and links make components. (3) Buckets that
 still hold several components compare all pairs across components: blocks of a bucket's members against blocks, by their
-signatures (registers cut to a byte), and exact checks of those that come near; first of the likeliest pair of each two
+signatures (registers cut to a byte) and by bounds from sizes and binned counts, and exact checks of those that come near; first of the likeliest pair of each two
 components, then of every pair still across. Pairs inside one component need no check: they can't change the classes. So no link between different texts is lost once they share a bucket, and no group
 is ever expanded into all of its pairs.
 
@@ -39,7 +39,9 @@ REGISTERS = BANDS * ROWS
 BLOCK = 256
 #: Share of equal registers from which a pair across components is checked exactly: 4 standard deviations below.
 NEAR = 0.70
-_SIG = "doc_id long, fp1 long, fp2 long, size long, bands array<long>, registers binary"
+#: Shingles are counted in so many bins; the sum of two texts' smaller counts bounds their overlap from above.
+BINS = 256
+_SIG = "doc_id long, fp1 long, fp2 long, size long, bands array<long>, registers binary, bins binary"
 
 
 def _times(a: int, b: int) -> np.uint64:
@@ -141,10 +143,14 @@ def _signed(batches):
                 band = mix(band * U64(31) + rows[:, :, k])
             size = np.bincount((keys >> U64(52)).astype(np.int64), weights, minlength=n).astype(np.int64)
             byte = (mix(sig) >> U64(56)).astype(np.uint8)
+            at = (keys >> U64(52)).astype(np.int64) * BINS + (keys & U64(BINS - 1)).astype(np.int64)
+            bins = np.bincount(at, weights, minlength=n * BINS).reshape(n, BINS)
+            fits = bins.max(1) < 256  # else the bound is left out
+            bins = np.minimum(bins, 255).astype(np.uint8)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(band.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, last - first).cast(pa.int64()), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.array(size), bands,
-                 pa.array([r.tobytes() for r in byte], pa.binary())], names)
+                 pa.array([r.tobytes() for r in byte], pa.binary()), pa.array([r.tobytes() if f else b"" for r, f in zip(bins, fits, strict=True)], pa.binary())], names)
 
 
 def similarity(a, b) -> float:
@@ -239,6 +245,7 @@ def _across(batches, best: bool, least: float):
             ids_x, ids_y = [m["doc_id"] for m in left], [m["doc_id"] for m in right]
             root_x, root_y = [m["root"] for m in left], np.array([m["root"] for m in right])
             size = np.array([m["size"] for m in right], float)
+            bins = [np.frombuffer(m["bins"], np.uint8) for m in right]
             top: dict[tuple[int, int], tuple[float, int, int]] = {}
             for i in range(len(left)):
                 same = y == x[i]
@@ -249,6 +256,11 @@ def _across(batches, best: bool, least: float):
                 if row["right"] is None:
                     near[: i + 1] = False
                 near = np.flatnonzero(near)
+                if len(near) and left[i]["bins"]:
+                    mine = np.frombuffer(left[i]["bins"], np.uint8)
+                    most = np.array([np.minimum(mine, bins[j]).sum() if len(bins[j]) else size[j] for j in near], float)
+                    most = np.minimum(most, np.minimum(size[near], left[i]["size"]))
+                    near = near[most >= (least - 1e-9) * (size[near] + left[i]["size"] - most)]
                 first = same[near].reshape(len(near), BANDS, ROWS).all(2).argmax(1)
                 for j in near[first == row["band"]].tolist():
                     pair = (min(ids_x[i], ids_y[j]), max(ids_x[i], ids_y[j]))
@@ -272,7 +284,7 @@ def _candidates(spark, members, roots, registers, known, best: bool, least: floa
     # blocks of a bucket's members, and every pair of its blocks
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = rooted.join(mixed, "bucket", "left_semi").select("bucket", "band", "doc_id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
-    member = F.struct("doc_id", "root", "size", "registers").alias("m")
+    member = F.struct("doc_id", "root", "size", "registers", "bins").alias("m")
     # a block of a bucket is about BLOCK rows: it is bounded, and only it is ever collected
     grouped = placed.join(registers, "doc_id").groupBy("bucket", "band", "blocks", "block").agg(F.collect_list(member).alias("members"))
     grouped = materialize(spark, grouped, "blocks")
@@ -299,7 +311,7 @@ def near_duplicates(spark, docs, id_col: str = "doc_id", text_col: str = "text",
     # one text, and one signature, per id of those in any bucket
     some = members.select("doc_id").distinct()
     texts = materialize(spark, two.join(some, "doc_id", "left_semi"), "texts")
-    registers = signed.join(some, "doc_id", "left_semi").select("doc_id", "size", "registers").dropDuplicates(["doc_id"])
+    registers = signed.join(some, "doc_id", "left_semi").select("doc_id", "size", "registers", "bins").dropDuplicates(["doc_id"])
 
     asked = materialize(spark, members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "asked")
     links = materialize(spark, _check(asked, texts, least), "links")
