@@ -19,7 +19,7 @@ from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import U64, mix, quiet_worker, slices, text_bytes, text_column, word_spans
+from arterial.llm.common import U64, discard, materialize, mix, quiet_worker, slices, text_bytes, text_column, word_spans
 from arterial.llm.common import _BYTE, _power_tables
 from arterial.llm.quality_clf import held_out, labelled_sample
 
@@ -87,21 +87,39 @@ def _hash_words(words) -> np.ndarray:
     return np.unique(h)
 
 
-def _entries(batches):
-    """label, text, and all distinct hashes of words and beginnings."""
+def _hashed_entries(texts, first: int, last: int):
+    """(text, hash) of all distinct words and beginnings, by text."""
+    w = Words(*text_bytes(texts.slice(first, last - first)))
+    keys = [(w.doc[at], h) for at, h in [w.hashes(), *[w.hashes(n) for n in PREFIXES]]]
+    doc, h = np.concatenate([k[0] for k in keys]), np.concatenate([k[1] for k in keys])
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    return doc[new], h[new]
+
+
+def _entry_rows(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        texts = text_column(batch.column(0), lower=False)
+        for first, last in slices(texts):
+            h = _hashed_entries(texts, first, last)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+
+def _entries(batches, shared):
+    """label, text, and those of its entries that the lexicon may take."""
     import pyarrow as pa
 
+    known = shared.value
     for batch in batches:
         texts, labels = text_column(batch.column(0), lower=False), batch.column(1)
         for first, last in slices(texts):
-            w = Words(*text_bytes(texts.slice(first, last - first)))
-            keys = [(w.doc[at], h) for at, h in [w.hashes(), *[w.hashes(n) for n in PREFIXES]]]
-            doc, h = np.concatenate([k[0] for k in keys]), np.concatenate([k[1] for k in keys])
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            if len(h):
-                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
-                doc, h = doc[new], h[new]
+            doc, h = _hashed_entries(texts, first, last)
+            keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+            doc, h = doc[keep], h[keep]
             ends = np.searchsorted(doc, np.arange(last - first + 1))
             raw = [h[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -328,10 +346,19 @@ def train(docs, labels, label: str = "toxic", keep=None, fit_rows: int = FIT_ROW
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keep = F.lit(True) if keep is None else keep
-    got = labelled_sample(docs, labels, label, keep, fit_rows).mapInArrow(_entries, "label int, text string, entries binary").collect()
+    spark = docs.sparkSession
+    sample = materialize(spark, labelled_sample(docs, labels, label, keep, fit_rows), "sample")
+    # entries of too few toxic texts can't enter the lexicon: they stay on the executors
+    often = sample.where("label > 0").mapInArrow(_entry_rows, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    known = np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(U64))
+    shared = spark.sparkContext.broadcast(known)
+    got = sample.mapInArrow(partial(_entries, shared=shared), "label int, text string, entries binary").collect()
     got.sort(key=lambda r: (r["label"], r["text"] or ""))
     order = np.random.default_rng(5).permutation(len(got))
-    return fit([got[i]["text"] or "" for i in order], [np.frombuffer(got[i]["entries"], U64) for i in order], np.array([got[i]["label"] for i in order]))
+    model = fit([got[i]["text"] or "" for i in order], [np.frombuffer(got[i]["entries"], U64) for i in order], np.array([got[i]["label"] for i in order]))
+    shared.destroy()
+    discard(spark, sample)
+    return model
 
 
 def _scores(texts, model: Model) -> np.ndarray:
