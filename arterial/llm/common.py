@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -53,7 +55,9 @@ def partitions_for(spark, least: int = 1) -> int:
 
 
 def quiet_worker() -> None:
-    """One thread per Python worker: Spark's tasks are the parallelism."""
+    """One thread per Python worker: Spark's tasks are the parallelism. Memory freed by earlier tasks goes back to the system."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 

@@ -15,7 +15,7 @@ import numpy as np
 from arterial.llm.common import quiet_worker
 
 #: Entries a worker keeps, the bound on its memory; beyond them new chunks are held for a batch only.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 # Words that both vocabularies take as one piece and that normalisation at most lowers: they go straight to the model.
 _SIMPLE = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 # A word with the space before it, ended by white space or one mark; that mark; any other run; white space.
@@ -46,6 +46,7 @@ _KEPT: dict = {}
 
 def encoder(kind: type, path: str):
     """The worker's encoder of this vocabulary; its cache lives as long as the worker, across tasks."""
+    quiet_worker()
     key = (kind, path)
     if key not in _KEPT:
         _KEPT[key] = kind(path)
