@@ -126,12 +126,16 @@ def mask_density(spark, d):
 _ALIGNED = """a AS (SELECT tile_id, "row", col, max(t) AS t, max(p) AS p, max(o) AS o FROM (SELECT *, 1 AS t, 0 AS p, 0 AS o FROM m UNION ALL SELECT *, 0, 1, 0 FROM p UNION ALL SELECT *, 0, 0, 1 FROM o) GROUP BY ALL)"""
 _RATIOS = """round(tp / (tp + fp + fn + 1e-7), 6) AS iou, round(2 * tp / (2 * tp + fp + fn + 1e-7), 6) AS dice, round(tp / (tp + fp + 1e-7), 6) AS "precision", round(tp / (tp + fn + 1e-7), 6) AS recall"""
 _COUNTS = "sum(t * p)::BIGINT AS tp, sum((1 - t) * p)::BIGINT AS fp, sum(t * (1 - p))::BIGINT AS fn"
-_RATIO_COLS = [big("tp"), big("fp"), big("fn"), r6("iou"), r6("dice"), r6("precision"), r6("recall")]
+
+
+def _ratio_cols():
+    return [big("tp"), big("fp"), big("fn"), r6("iou"), r6("dice"), r6("precision"), r6("recall")]
+
 
 
 @query(with_ctes("m p o", f", {_ALIGNED} SELECT *, {_RATIOS} FROM (SELECT {_COUNTS} FROM a)"))
 def mask_confusion(spark, d):
-    return R.confusion(X.mask(spark, d), X.prediction(spark, d)).select(*_RATIO_COLS)
+    return R.confusion(X.mask(spark, d), X.prediction(spark, d)).select(*_ratio_cols())
 
 
 @query(with_ctes("m p o", f""", {_ALIGNED}, s AS (SELECT *, CASE WHEN length(tile_id) % 2 = 0 THEN 'even' ELSE 'odd' END AS terrain FROM a)
@@ -139,7 +143,7 @@ SELECT terrain, tp, fp, fn, {_RATIOS}, n_tiles FROM (SELECT terrain, {_COUNTS},
 def eval_by_terrain(spark, d):
     m = X.mask(spark, d)
     strata = m.select("tile_id").distinct().withColumn("terrain", F.when(F.length("tile_id") % 2 == 0, "even").otherwise("odd"))
-    return R.by_stratum(m, X.prediction(spark, d), strata).select("terrain", *_RATIO_COLS, big("n_tiles"))
+    return R.by_stratum(m, X.prediction(spark, d), strata).select("terrain", *_ratio_cols(), big("n_tiles"))
 
 
 @query(with_ctes("m p o", f", {_ALIGNED} SELECT tile_id, sum(t * o)::BIGINT AS hidden, sum(t * o * p)::BIGINT AS recovered, round(sum(t * o * p) / nullif(sum(t * o), 0), 6) AS occlusion_recall FROM a GROUP BY 1"))
