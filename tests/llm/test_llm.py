@@ -215,6 +215,16 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert D.find_leaks(spark, table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_items_with_one_id_are_searched_in_every_block(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(words(rng, 30)) for _ in range(7)]
+    items = [(k // 4, t) for k, t in enumerate(texts)]  # four and three texts of one id, in blocks of three
+    docs = [(k, " ".join(words(rng, 60)) + " " + t) for k, t in enumerate(texts)] + [(50, " ".join(words(rng, 90)))]
+    monkeypatch.setattr(D, "ITEMS", 3)
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(spark, table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k // 4) for k in range(7)}
+
+
 def test_common_subsequence_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(50):
