@@ -207,20 +207,25 @@ def components(spark, links, rounds: int = 60):
     """
     from pyspark.sql import functions as F
 
+    def digest(edges):
+        h = F.xxhash64("u", "v")  # of distinct rows; equal only for equal sets, but for chance (2**-64)
+        return edges.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")).first()
+
     edges = materialize(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    state = digest(edges)
     for _ in range(rounds):
         # large star: every larger neighbour of a node meets the node's least neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = edges.select(F.col("v").alias("c"), F.col("u").alias("w")).join(least.withColumnRenamed("u", "c"), "c").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+        large = edges.select(F.col("v").alias("c"), F.col("u").alias("w")).join(least.withColumnRenamed("u", "c"), "c").select(F.col("w").alias("u"), F.col("m").alias("v"))
         # small star: a node's smaller neighbours, and the node, meet their least
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = materialize(spark, small, "edges")
-        same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
+        before, state = state, digest(new)
         discard(spark, edges)
         edges = new
-        if same:
+        if state == before:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -326,7 +331,8 @@ def near_duplicates(spark, docs, id_col: str = "doc_id", text_col: str = "text",
         asked = asked.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
-            final, edges = components(spark, links)
+            # what is known is a star by component: the new links join stars
+            final, edges = components(spark, final.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
             spent.append(edges)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
