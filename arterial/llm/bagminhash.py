@@ -137,12 +137,14 @@ def _signed(batches):
         for first, last in slices(texts):
             keys, weights, fp, n = shingles(*text_bytes(texts.slice(first, last - first)))
             sig = signatures(keys, weights, n).view(U64)
-            rows = sig.reshape(n, BANDS, ROWS)
+            byte = (mix(sig) >> U64(56)).astype(np.uint8)
+            # bands are of the same bytes that are compared later, so the first shared band is the same in both places
+            rows = byte.astype(U64).reshape(n, BANDS, ROWS)
             band = np.full((n, BANDS), U64(0)) + np.arange(1, BANDS + 1, dtype=U64)
             for k in range(ROWS):
-                band = mix(band * U64(31) + rows[:, :, k])
+                band = band << U64(8) | rows[:, :, k]
+            band = mix(band)
             size = np.bincount((keys >> U64(52)).astype(np.int64), weights, minlength=n).astype(np.int64)
-            byte = (mix(sig) >> U64(56)).astype(np.uint8)
             at = (keys >> U64(52)).astype(np.int64) * BINS + (keys & U64(BINS - 1)).astype(np.int64)
             bins = np.bincount(at, weights, minlength=n * BINS).reshape(n, BINS)
             fits = bins.max(1) < 256  # else the bound is left out
