@@ -225,6 +225,23 @@ def test_items_with_one_id_are_searched_in_every_block(spark, monkeypatch):
     assert got == {(k, k // 4) for k in range(7)}
 
 
+def test_an_item_held_by_a_third_of_all_rows_is_found_in_each(spark):
+    rng = np.random.default_rng(12)
+    items = [(k, " ".join(words(rng, 30))) for k in range(3)]
+    docs, want = [], set()
+    for i in range(240):
+        w = words(rng, 100)
+        if i % 3 == 0:
+            at = int(rng.integers(0, 100))
+            w[at:at] = items[0][1].split()
+            want.add((i, 0))
+        docs.append((i, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.find_leaks(spark, table(spark, docs), bench).collect()} == want
+    few = table(spark, [d for d in docs if d[0] < 12])  # four copies in a small table
+    assert {(r.doc_id, r.item_id) for r in D.find_leaks(spark, few, bench).collect()} == {w for w in want if w[0] < 12}
+
+
 def test_common_subsequence_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(50):
