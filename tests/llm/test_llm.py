@@ -242,6 +242,14 @@ def test_an_item_held_by_a_third_of_all_rows_is_found_in_each(spark):
     assert {(r.doc_id, r.item_id) for r in D.find_leaks(spark, few, bench).collect()} == {w for w in want if w[0] < 12}
 
 
+def test_an_item_of_one_word_many_times_is_found(spark):
+    rng = np.random.default_rng(13)
+    for n in (256, 300):
+        docs = [(k, " ".join(words(rng, 90))) for k in range(100)] + [(500, " ".join(words(rng, 40) + ["again"] * n + words(rng, 40)))]
+        bench = spark.createDataFrame([(1, " ".join(["again"] * n)), (2, " ".join(words(rng, 30)))], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in D.find_leaks(spark, table(spark, docs), bench).collect()] == [(500, 1)]
+
+
 def test_common_subsequence_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(50):
