@@ -250,6 +250,14 @@ def test_an_item_of_one_word_many_times_is_found(spark):
         assert [(r.doc_id, r.item_id) for r in D.find_leaks(spark, table(spark, docs), bench).collect()] == [(500, 1)]
 
 
+def test_short_items_match_word_for_word(spark):
+    items = [(1, "Blue  whale song"), (2, "whale"), (3, ""), (4, None), (5, "to be or not")]
+    docs = [(1, "a blue whale song, a blue whale song"), (2, "blue song whale"), (3, "to be, or not to be"), (4, "to be it or not"), (5, "blue"), (6, "whale song"), (7, None), (8, "")]
+    rows = D.find_leaks(spark, table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.end_word) for r in rows) == [(1, 1, 1, 4), (1, 2, 2, 3), (2, 2, 2, 3), (3, 5, 0, 4), (6, 2, 0, 1)]
+    assert all(r.cosine is None and r.lcs == 1 and r.answer for r in rows)
+
+
 def test_common_subsequence_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(50):
