@@ -123,8 +123,7 @@ class ChunkEncoder:
         if self.words:
             # that vocabulary lowers everything; of Latin-1 letters Python does so in the same way
             return self._join(self.cache, (text.lower() if _latin(text) else text).split())
-        plain = text.split()
-        if len(plain) != text.count(" ") + text.count("\n") + 1:
+        if " ".join(text.split()) != text.replace("\n", " "):
             return self._join(self.cache, self.chunks.findall(text))
         # single spaces and line feeds only: every word but a line's first takes the space before it
         out = []

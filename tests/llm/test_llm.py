@@ -26,6 +26,18 @@ def test_encoder_equals_library(name):
     assert e.encode(ODD) == want  # now from the cache
 
 
+#: Other white space between words makes up for blanks in a row: as many gaps as spaces and line feeds.
+OFFSET = ["a\tb\tc\n\n\nd", "a\tb\tc\n\n", "Oui\u00a0! Non\u00a0?\n\n\nfin", "x\ry  z", "a\u3000b\n\nc", "\tone two ", " one\ttwo", "a\x85b  c", "\u2028a  b"]
+
+
+def test_other_white_space_does_not_pass_for_single_blanks():
+    e = ChunkEncoder(tokenizer_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    texts = OFFSET + ["".join(rng.choice(["a", "Bc", "é", "1", ".", " ", " ", "\n", "\t", "\r", "\u00a0"], 14)) for _ in range(5000)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode(texts) == want
+
+
 def test_offsets_equal_library():
     e = OffsetEncoder(tokenizer_path("byte_bpe_50k.json"))
     for text, (a, b) in zip(ODD, e.spans(ODD), strict=True):
