@@ -31,7 +31,7 @@ def mask_secrets(spark, docs, sf_dir):
 
 
 def pack_documents(spark, docs, sf_dir):
-    return packing.pack(docs, with_ids=False)
+    return packing.pack(docs)
 
 
 STAGES = [

@@ -439,3 +439,10 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     left = {r.doc_id: r.text for r in docs.collect()}
     assert set(left) == {i for i in range(300) if i % 6} | {402} and left[402].endswith("[assign]")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(left)
+
+
+def test_the_pipelines_last_table_holds_the_ids(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.pack_documents(spark, table(spark, DOCS), None).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
