@@ -9,18 +9,22 @@ halving of its interval, a weight cell of length one. A text takes the points wh
 a register holds the first point that it gets. Two registers agree with probability equal to the similarity. Points
 beyond the value by which all registers are filled can't matter, so a text costs about m ln m points, however long.
 
-Groups. (1) Equal word sequences are one text, represented by its least doc_id. (2) Bands of registers put texts into
-buckets; each text is checked exactly against its bucket's least member, and links make components. (3) Buckets that
-still hold several components compare all pairs across components: blocks of a bucket's members against blocks, by their
-signatures (registers cut to a byte) and by bounds from sizes and binned counts, and exact checks of those that come near; first of the likeliest pair of each two
-components, then of every pair still across. Pairs inside one component need no check: they can't change the classes. So no link between different texts is lost once they share a bucket, and no group
-is ever expanded into all of its pairs.
+Groups. (1) Equal word sequences are one text, a node with a number of its own. (2) Bands of registers put nodes into
+buckets; each is checked exactly against its bucket's least node, and links make components. (3) Buckets that still hold
+several components compare all pairs across components, and none within one: blocks of one component's members, or of
+members of several small ones, against blocks, by their signatures (registers cut to a byte) and by bounds from sizes and
+binned counts, and exact checks of those that come near; first of the likeliest pair of each two components, then of every
+pair still across. Pairs inside one component need no check: they can't change the classes. So no link between different
+texts is lost once they share a bucket, and no group is ever expanded into all of its pairs.
 
 Buckets are found by counts combined before the shuffle; rows of a hot bucket are joined by sort-merge joins that
-adaptive execution splits.
+adaptive execution splits. A text that meets many others goes once to each of as many salted groups as there are shuffle
+partitions, not once to each pair.
 
 Edge cases: null or empty text is the empty multiset; all such rows are equal, one class. A null doc_id has no class and
-stays. Repeated rows with one id and text are one document; extra columns are ignored. Empty tables give no rows.
+stays. Repeated rows with one id and text are one document; rows of one id with different texts are documents of their own,
+each with its class. Texts of any length are signed whole. Of equal texts and in a class the least doc_id stands for all.
+Extra columns are ignored, and kept by keep_one(), whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import U64, discard, materialize, mix, quiet_worker, slices, text_bytes, text_column, word_hashes
+from arterial.llm.common import U64, attach, discard, materialize, partitions_for, mix, quiet_worker, slices, text_bytes, text_column, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -41,7 +45,7 @@ BLOCK = 256
 NEAR = 0.68
 #: Shingles are counted in so many bins; the sum of two texts' smaller counts bounds their overlap from above.
 BINS = 256
-_SIG = "doc_id long, fp1 long, fp2 long, size long, bands array<long>, registers binary, bins binary"
+_SIG = "doc_id long, h long, fp1 long, fp2 long, size long, bands array<long>, registers binary, bins binary"
 
 
 def _times(a: int, b: int) -> np.uint64:
@@ -133,7 +137,7 @@ def _signed(batches):
     quiet_worker()
     names = [c.split()[0] for c in _SIG.split(", ")]
     for batch in batches:
-        ids, texts = batch.column(0), text_column(batch.column(1))
+        ids, texts, hashes = batch.column(0), text_column(batch.column(1)), batch.column(2)
         for first, last in slices(texts):
             keys, weights, fp, n = shingles(*text_bytes(texts.slice(first, last - first)))
             sig = signatures(keys, weights, n).view(U64)
@@ -151,7 +155,7 @@ def _signed(batches):
             bins = np.minimum(bins, 255).astype(np.uint8)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(band.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, last - first).cast(pa.int64()), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.array(size), bands,
+                [ids.slice(first, last - first), hashes.slice(first, last - first), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.array(size), bands,
                  pa.array([r.tobytes() for r in byte], pa.binary()), pa.array([r.tobytes() if f else b"" for r, f in zip(bins, fits, strict=True)], pa.binary())], names)
 
 
@@ -173,36 +177,38 @@ def _multiset(text: str):
 
 
 def _checked(batches, least: float):
-    """Pairs (a, b) whose texts reach the similarity. Rows come by a, so its multiset is kept from row to row."""
+    """Pairs (a, b) whose texts reach the similarity. A group's rows follow each other: first the text of a alone (b is
+    null), then the texts that are compared with it, so its multiset is made once."""
     import pyarrow as pa
 
     quiet_worker()
-    held, of = None, None
+    held = None
     for batch in batches:
-        out_a, out_b, out_s = [], [], []
-        for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if held != a:
-                held, of = a, _multiset(ta.as_py())
-            s = similarity(of, _multiset(tb.as_py()))
-            if s >= least - 1e-12:
+        out_a, out_b = [], []
+        for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if b is None:
+                held = _multiset(text.as_py())
+            elif similarity(held, _multiset(text.as_py())) >= least - 1e-12:
                 out_a.append(a)
                 out_b.append(b)
-                out_s.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.float64())], ["a", "b", "similarity"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def _check(pairs, texts, least: float):
-    """Exact similarities of (a, b) rows; texts: (doc_id, text) of one row per id."""
+def _check(spark, pairs, texts, least: float):
+    """The (a, b) rows whose texts reach the similarity; texts: (node, text) of one row per node."""
     from pyspark.sql import functions as F
 
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(partial(_checked, least=least), "a long, b long, similarity double")
+    n = partitions_for(spark)
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b", F.lit(5)), F.lit(n)).alias("salt"))
+    asked = salted.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "salt", "b", "text")
+    owners = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a")
+    rows = owners.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(asked)
+    rows = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "text").mapInArrow(partial(_checked, least=least), "a long, b long")
 
 
 def components(spark, links, rounds: int = 60):
-    """(doc_id, root): the least id that each linked id reaches. links: (a, b).
+    """(node, root): the least node that each linked node reaches. links: (a, b).
 
     Large-star and small-star steps (Kiveris et al. 2014), written to the shared folder each round. A step groups a
     node's neighbours only by their least, so a star of any size is combined before the shuffle.
@@ -218,20 +224,22 @@ def components(spark, links, rounds: int = 60):
     for _ in range(rounds):
         # large star: every larger neighbour of a node meets the node's least neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = edges.select(F.col("v").alias("c"), F.col("u").alias("w")).join(least.withColumnRenamed("u", "c"), "c").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
+        # written, so that both sides of the join are plain shuffles, of which adaptive execution splits a hub's
+        least = materialize(spark, least, "least")
+        large = edges.select(F.col("v").alias("c"), F.col("u").alias("w")).join(least, "c").select(F.col("w").alias("u"), F.col("m").alias("v"))
         # small star: a node's smaller neighbours, and the node, meet their least
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = materialize(spark, small, "edges")
         before, state = state, digest(new)
-        discard(spark, edges)
+        discard(spark, edges, least)
         edges = new
         if state == before:
             break
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), edges
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")), edges
 
 
 def _across(batches, best: bool, least: float):
@@ -249,7 +257,7 @@ def _across(batches, best: bool, least: float):
             left, right = row["left"], row["right"] or row["left"]
             x = np.frombuffer(b"".join(m["registers"] for m in left), np.uint8).reshape(len(left), -1)
             y = np.frombuffer(b"".join(m["registers"] for m in right), np.uint8).reshape(len(right), -1)
-            ids_x, ids_y = [m["doc_id"] for m in left], [m["doc_id"] for m in right]
+            ids_x, ids_y = [m["node"] for m in left], [m["node"] for m in right]
             root_x, root_y = [m["root"] for m in left], np.array([m["root"] for m in right])
             size = np.array([m["size"] for m in right], float)
             bins = [np.frombuffer(m["bins"], np.uint8) for m in right]
@@ -282,82 +290,112 @@ def _across(batches, best: bool, least: float):
 
 
 def _candidates(spark, members, roots, registers, known, best: bool, least: float):
-    """Unchecked pairs across components that share a bucket: (pairs, tables to discard)."""
+    """Unchecked pairs across components that share a bucket: (pairs, tables to discard).
+
+    A bucket's members are cut into blocks of about BLOCK. A component of more than half a block there has blocks of its
+    own; members of smaller ones share blocks. Blocks of one component never meet each other.
+    """
     from pyspark.sql import functions as F
 
-    rooted = members.join(roots, "doc_id", "left").select("bucket", "band", "n", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rooted = members.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     rooted = materialize(spark, rooted, "rooted")
+    sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    # blocks of a bucket's members, and every pair of its blocks
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = rooted.join(mixed, "bucket", "left_semi").select("bucket", "band", "doc_id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
-    member = F.struct("doc_id", "root", "size", "registers", "bins").alias("m")
-    # a block of a bucket is about BLOCK rows: it is bounded, and only it is ever collected
-    grouped = placed.join(registers, "doc_id").groupBy("bucket", "band", "blocks", "block").agg(F.collect_list(member).alias("members"))
+    # -1 stands for all small components of a bucket; nodes are never negative
+    own = F.when(F.col("c") > BLOCK // 2, F.col("root")).otherwise(F.lit(-1))
+    sizes = materialize(spark, sizes.join(mixed, "bucket", "left_semi").withColumn("own", own), "sizes")
+    parts = sizes.groupBy("bucket", "own").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("parts"))
+    parts = materialize(spark, parts, "parts")
+    placed = rooted.join(sizes.select("bucket", "root", "own"), ["bucket", "root"]).join(parts, ["bucket", "own"])
+    placed = placed.select("bucket", "band", "node", "root", "own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    member = F.struct("node", "root", "size", "registers", "bins").alias("m")
+    # a block holds about BLOCK members by hash: it is bounded, and only it is ever collected
+    grouped = placed.join(registers, "node").groupBy("bucket", "band", "own", "part").agg(F.collect_list(member).alias("members"))
     grouped = materialize(spark, grouped, "blocks")
     nothing = F.lit(None).cast(grouped.schema["members"].dataType)
-    own = grouped.where(F.size("members") > 1).select("band", F.col("members").alias("left"), nothing.alias("right"))
-    left = grouped.where("blocks > 1").select("bucket", "band", F.col("members").alias("left"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block < other")
-    cross = left.join(grouped.select("bucket", F.col("block").alias("other"), F.col("members").alias("right")), ["bucket", "other"]).select("band", "left", "right")
-    found = own.unionByName(cross).mapInArrow(partial(_across, best=best, least=least), "a long, b long").distinct()
-    return found.join(known, ["a", "b"], "left_anti"), [rooted, grouped]
-
-
-def near_duplicates(spark, docs, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY):
-    """One row per document: class_id (the least doc_id of its class), copy_of (the least doc_id with its very words) and
-    n_links, the exact checks that its text passed as one of a pair."""
+    alone = grouped.where("own = -1 and size(members) > 1").select("band", F.col("members").alias("left"), nothing.alias("right"))
+    # which blocks meet: from the few rows of `parts`, so that nothing is made and thrown away
+    mine = parts.select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    other = parts.select("bucket", F.col("own").alias("other"), F.col("parts").alias("others"))
+    meet = mine.join(other, "bucket").where("own < other or (own = other and own = -1 and part + 1 < others)")
+    first = F.when(F.col("own") == F.col("other"), F.col("part") + 1).otherwise(0)
+    meet = meet.select("bucket", "own", "part", "other", F.explode(F.sequence(first, F.col("others") - 1)).alias("other_part"))
+    left = grouped.select("bucket", "band", "own", "part", F.col("members").alias("left"))
+    right = grouped.select("bucket", F.col("own").alias("other"), F.col("part").alias("other_part"), F.col("members").alias("right"))
+    cross = meet.join(left, ["bucket", "own", "part"]).join(right, ["bucket", "other", "other_part"]).select("band", "left", "right")
+    found = alone.unionByName(cross).mapInArrow(partial(_across, best=best, least=least), "a long, b long").distinct()
+    return found.join(known, ["a", "b"], "left_anti"), [rooted, sizes, parts, grouped]
+
+
+def _classes(spark, docs, id_col: str, text_col: str, least: float):
+    """(doc_id, h, node, root, class_id, copy_of), one row per row of docs with an id; h: a hash of the text. Different
+    classes have different roots, also where one id on different texts is the least of both."""
     from pyspark.sql import functions as F
 
-    two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(spark, two.where("doc_id is not null").mapInArrow(_signed, _SIG), "signatures")
-    copies = materialize(spark, signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "copies")
-    reps = signed.join(copies.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi").where("size > 0")
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(spark, rows.join(buckets, "bucket").select("bucket", "band", "hub", "n", "doc_id"), "members")
-    # one text, and one signature, per id of those in any bucket
-    some = members.select("doc_id").distinct()
-    texts = materialize(spark, two.join(some, "doc_id", "left_semi"), "texts")
-    registers = signed.join(some, "doc_id", "left_semi").select("doc_id", "size", "registers", "bins").dropDuplicates(["doc_id"])
-
-    asked = materialize(spark, members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "asked")
-    links = materialize(spark, _check(asked, texts, least), "links")
+    text = F.col(text_col).cast("string")
+    three = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).where("doc_id is not null")
+    signed = materialize(spark, three.mapInArrow(_signed, _SIG), "signatures")
+    copies = signed.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "h")).alias("rep"))
+    copies = materialize(spark, copies.select(F.monotonically_increasing_id().alias("node"), "fp1", "fp2", "rep.*"), "copies")
+    reps = signed.where("size > 0").join(copies, ["doc_id", "h", "fp1", "fp2"])
+    rows = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub")
+    members = materialize(spark, rows.join(buckets, "bucket").select("bucket", "band", "hub", "node").dropDuplicates(["bucket", "node"]), "members")
+    # one text, and one signature, per node in any bucket
+    some = materialize(spark, copies.join(members.select("node").distinct(), "node", "left_semi"), "some")
+    texts = three.join(some.select("doc_id", "h", "node"), ["doc_id", "h"]).select("node", "text").dropDuplicates(["node"])
+    texts = materialize(spark, texts, "texts")
+    registers = reps.join(some.select("node"), "node", "left_semi").select("node", "size", "registers", "bins").dropDuplicates(["node"])
+
+    asked = materialize(spark, members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "asked")
+    links = materialize(spark, _check(spark, asked, texts, least), "links")
     final, edges = components(spark, links)
-    spent = [signed, copies, members, texts, asked, links, edges]
+    spent = [signed, copies, members, some, texts, asked, links, edges]
     # first the likeliest pair of each two components, which joins most of them; then every pair that is left
     for best in (True, False):
         pairs, tables = _candidates(spark, members, final, registers, asked, best, least)
         pairs = materialize(spark, pairs, "pairs")
-        more = materialize(spark, _check(pairs, texts, least), "links")
+        more = materialize(spark, _check(spark, pairs, texts, least), "links")
         spent += [*tables, pairs, more]
         asked = asked.unionByName(pairs)
         if not more.isEmpty():
-            links = links.unionByName(more)
             # what is known is a star by component: the new links join stars
-            final, edges = components(spark, final.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
+            final, edges = components(spark, final.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
             spent.append(edges)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    by_rep = copies.join(final.withColumnRenamed("doc_id", "rep"), "rep", "left").join(degree, "rep", "left")
-    by_rep = by_rep.select("fp1", "fp2", "rep", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.select("doc_id", "fp1", "fp2").join(by_rep, ["fp1", "fp2"]).select("doc_id", "class_id", F.col("rep").alias("copy_of"), "n_links")
+    nodes = copies.select("node", F.col("doc_id").alias("copy_of")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least_id = nodes.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    by_node = nodes.join(least_id, "root").select("node", "root", "class_id", "copy_of").join(copies.select("node", "fp1", "fp2"), "node")
+    out = signed.select("doc_id", "h", "fp1", "fp2").join(by_node, ["fp1", "fp2"]).select("doc_id", "h", "node", "root", "class_id", "copy_of")
     out = materialize(spark, out, "classes")
     discard(spark, *spent)
     return out
 
 
+def near_duplicates(spark, docs, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY):
+    """One row per document: class_id (the least doc_id of its class) and copy_of (the least doc_id with its very words)."""
+    out = _classes(spark, docs, id_col, text_col, least)
+    return attach(out.select("doc_id", "class_id", "copy_of"), out)
+
+
 def keep_one(spark, docs, least: float = SIMILARITY):
     """docs with one document of each class: the one with the least doc_id. All columns are kept, and rows without an id."""
     from pyspark.sql import functions as F
 
-    classes = near_duplicates(spark, docs, least=least)
-    repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id"))
-    repeated = materialize(spark, repeated, "ids")
-    drop = repeated.where("class_id <> doc_id").select("doc_id")
-    kept = docs.join(drop, "doc_id", "left_anti")
-    twice = repeated.where("n > 1 and class_id = doc_id").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    # an id in several rows: equal rows become one
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    classes = _classes(spark, docs, "doc_id", "text", least)
+    # rows of one id and text are one document; of several texts of a class's least id the first node stays
+    one = classes.groupBy("doc_id", "h").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("node", "root", "class_id")])
+    one = materialize(spark, one, "ids")
+    heads = one.where("doc_id = class_id")
+    firsts = heads.groupBy("root").agg(F.min("node").alias("stays"))
+    later = heads.join(firsts, "root").where("node <> stays")
+    mark = "__arterial_text_hash"
+    drop = one.where("doc_id <> class_id").select("doc_id", F.col("h").alias(mark)).unionByName(later.select("doc_id", F.col("h").alias(mark)))
+    kept = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).join(drop, ["doc_id", mark], "left_anti")
+    twice = one.where("n > 1 and doc_id = class_id").select("doc_id", F.col("h").alias(mark))
+    discard(spark, classes)
+    if not twice.isEmpty():
+        # rows of one id and text become one
+        once = kept.join(twice, ["doc_id", mark], "left_anti")
+        kept = once.unionByName(kept.join(twice, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]))
+    return attach(kept.select(*docs.columns), one)

@@ -16,9 +16,13 @@ U64 = np.uint64
 
 
 def scratch_dir(spark) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one where that is unset (tests on one machine)."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset: a temporary one if driver and executors are one
+    process (local master), else an error, as no machine-local folder would do."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: the corpus operators need a folder that driver and executors share")
         where = getattr(spark, "_arterial_scratch", None)
         if where is None:
             where = "file://" + tempfile.mkdtemp(prefix="arterial-")
@@ -39,6 +43,22 @@ def materialize(spark, df, name: str):
     return out
 
 
+def attach(df, *things):
+    """df, with broadcasts and tables of materialize() that it reads and that are of no use after it."""
+    df._arterial_spent = [*getattr(df, "_arterial_spent", []), *things]
+    return df
+
+
+def release(spark, df) -> None:
+    """Give back what was attached to df, once its rows are written."""
+    for thing in getattr(df, "_arterial_spent", []):
+        if hasattr(thing, "destroy"):
+            thing.destroy()
+        else:
+            discard(spark, thing)
+    df._arterial_spent = []
+
+
 def discard(spark, *frames) -> None:
     """Remove tables of materialize() that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

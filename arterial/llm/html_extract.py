@@ -1,15 +1,25 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags; scripts, styles, markup, comments and elements that name themselves
-something else than content (navigation, footer, form, advert, ...) are dropped with all they hold. First pass: length,
-link density and stop-word density decide each block: good, bad, or open (short, or in between). A block inside the
-page's article or main element is good unless it is mostly links. Second pass: an open block takes the label that its
-nearest decided neighbours on both sides agree on; where they differ, the nearer one's, good at equal distance.
+A page is cut into blocks at block-level tags. What browsers don't show as text (scripts, styles, markup, comments, hidden
+elements, fallback content of media) and what pages mark as something else than content goes with all it holds: landmark
+elements and roles (navigation, header outside an article, footer, aside, form, ...) and elements of which a whole name in
+class or id says so (`sidebar`, `cookie-notice`, `ad-slot`; not `has-sidebar` or `overflow-hidden`: a name counts only if
+each of its parts is such a word or a neutral one).
+
+First pass: length, link density and stop-word density decide each block that is left: good, bad, or open (short, or in
+between). Inside the page's article or main element the same figures are read more kindly: shorter prose is good too, and
+a block isn't bad for few stop words, nor for links unless three or more blocks of links follow each other (a list of
+links). Second pass: an open block takes the label that its nearest decided neighbours on both sides agree on; where they
+differ, the nearer one's, good at equal distance. Neighbours are looked for on the same side of the article's border. Of
+an article without a good block all is good but lists of links; elsewhere an open block without neighbours is bad. On a
+page whose article holds good text, blocks outside are bad.
 
 Text inside a block: character references decoded, white space made one space, trimmed. Blocks are joined by \\n.
 
 Edge cases: null, empty or text-free html gives empty text; a page that breaks off inside a comment, script or tag keeps
-what came before; unclosed elements end with the element around them; rows are independent.
+what came before; unclosed elements end with the element around them; rows are independent: repeated rows, a null page_id
+or url and pages of any length are taken as they are; extra columns are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -20,9 +30,11 @@ from functools import partial
 
 from arterial.llm.common import quiet_worker
 
-SHORT, LONG = 70, 200
-MOST_LINKS, ARTICLE_LINKS = 0.2, 0.5
-FEW_STOPS, MANY_STOPS = 0.2, 0.3
+SHORT, LONG = 70, 140
+MOST_LINKS = 0.2
+#: In an article: the link density of a block of links, and how many of them in a row make a list of links.
+ARTICLE_LINKS, LINK_LIST = 0.5, 3
+FEW_STOPS, MANY_STOPS = 0.1, 0.2
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 BLOCK_TAGS = set(
@@ -30,13 +42,21 @@ BLOCK_TAGS = set(
     " h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td"
     " tfoot th thead title tr ul".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-DROP_TAGS = set("head nav footer aside form button select menu dialog iframe object noscript template svg canvas map audio video figure fieldset".split())
-# Names by which pages mark what isn't content, as words of class, id or role.
+#: Elements without text of the page itself, and landmarks that aren't its content.
+DROP_TAGS = set("head nav footer aside form button select menu dialog iframe object noscript template svg canvas audio video".split())
+DROP_ROLES = set("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar tooltip".split())
+#: Words by which pages name what isn't content, and words that say nothing beside them.
 DROP_NAMES = set(
-    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs"
-    " sidebar aside widget footer masthead header topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay subscribe"
-    " newsletter signup login search share sharing social related recommended comment comments disqus respond replies pagination pager"
-    " copyright legal skip complementary contentinfo dialog".split())
+    "ad ads advert adverts advertisement advertisements adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb"
+    " breadcrumbs sidebar aside footer masthead header topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay"
+    " subscribe newsletter signup login search share sharing social related recommended comment comments disqus respond replies pagination"
+    " pager copyright".split())
+NEUTRAL_NAMES = set(
+    "a area articles bar block bottom box btn buttons container content fixed form global group horizontal icons inner items js left links list main"
+    " media message module news outer panel posts primary reader readers right secondary section site slot small sticky stories text the thread"
+    " top unit user users vertical widget wrap wrapper".split())
+#: Of the names of headings, and of an article's ids that are often anchors, only these count.
+COMMENT_NAMES = set("comment comments disqus respond replies".split())
 STOPS = set(
     "a about after all also an and are as at be been but by can could did do for from had has have he her him his how i if in into is it its me"
     " more my no not of on one or our out she so than that the their them then there these they this to up was we were what when which who will"
@@ -50,20 +70,36 @@ STOPS = set(
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<(script|style|textarea|xmp)\b[^>]*>(?:.*?</\1\s*>|.*)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?:/?[a-zA-Z][^<>]*$)?|[^<]+",
     re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _named(value: str, names: set) -> bool:
+    """Whether one of the space-separated names consists of such words, neutral ones and numbers."""
+    for name in value.lower().split():
+        parts = [p for p in re.split(r"[^a-z0-9]+", name) if p and not p[0].isdigit()]
+        if any(p in names for p in parts) and all(p in names or p in DROP_NAMES or p in NEUTRAL_NAMES for p in parts):
+            return True
+    return False
+
+
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in DROP_TAGS or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return False
-    for value in _NAMES.findall(attributes):
-        if any(w in DROP_NAMES for w in re.split(r"[^a-z0-9]+", value.lower())):
-            return True
-    return bool(_HIDDEN.search(attributes))
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), value.strip("\"'"))
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"(display\s*:\s*none|visibility\s*:\s*hidden)", found.get("style", ""), re.I):
+        return True
+    if tag in ("article", "main"):
+        return False
+    if found.get("role", "").lower() in DROP_ROLES:
+        return True
+    heading = len(tag) == 2 and tag[0] == "h"
+    anchor = heading or (in_article and tag not in ("div", "ul", "ol", "dl", "table", "ins"))
+    return _named(found.get("class", ""), COMMENT_NAMES if heading else DROP_NAMES) or _named(found.get("id", ""), COMMENT_NAMES if anchor else DROP_NAMES)
 
 
 def blocks(page: str) -> list[tuple[str, int, bool]]:
@@ -133,21 +169,32 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
 def classify(text: str, linked: int, in_article: bool) -> bool | None:
     """First pass: good, bad, or open (None)."""
     density = linked / len(text)
-    if in_article:
-        return density <= ARTICLE_LINKS
-    if density > MOST_LINKS or "\xa9" in text:
+    if in_article and density > ARTICLE_LINKS:
+        return None  # label_links() looks at its neighbours
+    if not in_article and density > MOST_LINKS:
         return False
     if len(text) < SHORT:
-        return False if linked else None
+        return False if linked and not in_article else None
     words = _WORD.findall(text.lower())
     stops = sum(w in STOPS for w in words) / max(1, len(words))
     if stops >= MANY_STOPS:
-        return True if len(text) > LONG else None
-    return None if stops >= FEW_STOPS else False
+        return True if in_article or len(text) > LONG else None
+    return None if in_article or stops >= FEW_STOPS else False
+
+
+def label_links(found: list[tuple[str, int, bool]], labels: list[bool | None]) -> None:
+    """Marks lists of links inside an article as bad."""
+    first = 0
+    for k in range(len(found) + 1):
+        if k < len(found) and found[k][2] and found[k][1] > ARTICLE_LINKS * len(found[k][0]):
+            continue
+        if k - first >= LINK_LIST:
+            labels[first:k] = [False] * (k - first)
+        first = k + 1
 
 
 def inherit(labels: list[bool | None]) -> list[bool]:
-    """Second pass: open blocks take their nearest decided neighbours' label."""
+    """Second pass: open blocks take their nearest decided neighbours' label; bad if there is none."""
     n = len(labels)
     before: list[tuple[int, bool] | None] = []
     last = None
@@ -175,9 +222,19 @@ def inherit(labels: list[bool | None]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    inside = any(x[2] for x in found)
-    labels = [classify(*x) if x[2] or not inside else False for x in found]
-    return "\n".join(x[0] for x, good in zip(found, inherit(labels), strict=True) if good)
+    labels = [classify(*x) for x in found]
+    label_links(found, labels)
+    good = [False] * len(found)
+    for side in (True, False):
+        if not side and any(good):
+            break  # the article holds the text
+        at = [k for k, x in enumerate(found) if x[2] == side]
+        seen = [labels[k] for k in at]
+        if side and True not in seen:  # no prose in a known language: the article's tag decides all but lists of links
+            seen = [label is None for label in seen]
+        for k, label in zip(at, inherit(seen), strict=True):
+            good[k] = label
+    return "\n".join(x[0] for x, keep in zip(found, good, strict=True) if keep)
 
 
 def _extract(batches):

@@ -5,11 +5,14 @@ marks). A shape tells letter case, digits, marks, the last mark, and whether the
 a word triple seen earlier in the text. Each indicator is scaled by its class log-count ratio; a linear hinge-loss model
 is fitted by dual coordinate descent, and its margin mapped to a probability by a logistic fit on held-back rows.
 
-Fitting uses a bounded sample of labelled rows (`fit_rows`, those with the smallest hash of doc_id); scoring reads every
-whole text. Labels, language, source and id are never inputs.
+Fitting uses a bounded sample of labelled rows: those with the smallest hash of doc_id, at most `fit_rows` of them and at
+most `fit_bytes` of whole texts (a row that doesn't fit any more is passed over). One executor task fits; the driver gets
+nothing but the weights. Scoring reads every whole text. Labels, language, source and id are never inputs.
 
 Edge cases: null or empty text has no n-gram and scores by the bias; without labelled rows of both classes every score
-is the share of ones, or 0.5; repeated rows score alike; extra columns are ignored.
+is the share of ones, or 0.5; repeated rows score alike; extra columns are ignored. Where an id has several labels the
+greatest counts, where it has several texts the first in order; a null id or label fits nothing, a null id isn't held
+out. Texts of any length are read whole. Empty documents give no rows.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import U64, mix, quiet_worker, slices, text_bytes, text_column, word_spans
+from arterial.llm.common import U64, attach, mix, quiet_worker, slices, text_bytes, text_column, word_spans
 from arterial.llm.common import _BYTE, _power_tables
 
 BITS = 18
 FIT_ROWS = 8000
+#: Bytes of text, all rows of the sample together: the bound on what the fitting task holds.
+FIT_BYTES = 64 << 20
 SHARE_OF_ONES = 0.3  # threshold of `predicted`
 LEAST_COUNT = 3
 
@@ -37,7 +42,6 @@ _CLASS[0x80:] = 1
 
 def ngrams(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS):
     """(text, feature) pairs without repeats, by text."""
-    n_docs = len(offsets) - 1
     starts, stops, doc = word_spans(buf, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -82,24 +86,9 @@ def ngrams(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS):
     mask = U64((1 << bits) - 1)
     keys = np.concatenate([doc[where].astype(np.int64) << bits | (h[where] & mask).astype(np.int64) for h, where in parts])
     keys = np.unique(keys)
-    assert n_docs <= 1 << 40
     return keys >> bits, keys & ((1 << bits) - 1)
 
 
-def _features(batches):
-    """label, features as little-endian 32-bit numbers."""
-    import pyarrow as pa
-
-    for batch in batches:
-        texts, labels = text_column(batch.column(0), lower=False), batch.column(1)
-        for first, last in slices(texts):
-            buf, offsets = text_bytes(texts.slice(first, last - first))
-            doc, feature = ngrams(buf, offsets)
-            ends = np.searchsorted(doc, np.arange(last - first + 1))
-            raw = [feature[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([labels.slice(first, last - first).cast(pa.int32()), pa.array(raw, pa.binary())], ["label", "features"])
-
-
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """log of (share of the indicator in class 1) / (in class 0), smoothed; 0 for rare indicators."""
     up, down = np.zeros(size), np.zeros(size)
@@ -173,6 +162,44 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS):
     return (a * w).astype(np.float32), a * b + c
 
 
+def within(batches, fit_bytes: int):
+    """(label, text) of the rows of the sample, as they come, as long as their texts fit into fit_bytes."""
+    left = fit_bytes
+    for batch in batches:
+        for text, label in zip(batch.column(0), batch.column(1), strict=True):
+            raw = (text.as_py() or "").encode()
+            if len(raw) <= left:
+                left -= len(raw)
+                yield label.as_py(), raw
+
+
+def joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts on end, and their offsets."""
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64)))
+
+
+def shuffled(rows: list[tuple[int, bytes]], seed: int) -> list[tuple[int, bytes]]:
+    """The same order whatever order the rows came in."""
+    rows = sorted(rows)
+    return [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+
+
+def _fit(batches, fit_bytes: int):
+    """The fitted weights and the offset, as one row."""
+    import pyarrow as pa
+
+    quiet_worker()
+    rows = shuffled(list(within(batches, fit_bytes)), 3)
+    features: list[np.ndarray] = []
+    for first in range(0, len(rows), 256):
+        part = [t for _, t in rows[first : first + 256]]
+        doc, feature = ngrams(*joined(part))
+        ends = np.searchsorted(doc, np.arange(len(part) + 1))
+        features += [feature[a:b].astype(np.int32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    weights, offset = fit(features, np.array([label for label, _ in rows]))
+    yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([float(offset)])], ["weights", "offset"])
+
+
 def _score(batches, weights, offset: float):
     import pyarrow as pa
 
@@ -189,12 +216,14 @@ def _score(batches, weights, offset: float):
 
 
 def labelled_sample(docs, labels, label: str, keep, most: int):
-    """At most `most` labelled rows that `keep` (a Column of doc_id) admits: those with the smallest hash of doc_id."""
+    """(text, label) of at most `most` labelled ids that `keep` (a Column of doc_id) admits, in one partition: those with
+    the smallest hash of doc_id, in its order. Clashing labels: the greatest; several texts of an id: the first in order."""
     from pyspark.sql import functions as F
 
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", "label")
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    chosen = chosen.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(most)
+    one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "place", "label").agg(F.min("text").alias("text"))
+    return one.repartition(1).sortWithinPartitions("place", "doc_id").select("text", "label")
 
 
 def held_out(doc_id, folds: int, fold: int):
@@ -203,17 +232,25 @@ def held_out(doc_id, folds: int, fold: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == fold
 
 
-def classify(spark, docs, labels, label: str = "quality", folds: int = 5, fold: int = 0, threshold: float = SHARE_OF_ONES, fit_rows: int = FIT_ROWS):
+def train(docs, labels, label: str = "quality", keep=None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> tuple[np.ndarray, float]:
+    """(weights, offset), fitted in one executor task."""
+    from pyspark.sql import functions as F
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, fit_rows)
+    got = sample.mapInArrow(partial(_fit, fit_bytes=fit_bytes), "weights binary, offset double").collect()
+    if not got:
+        return fit([], np.zeros(0))
+    return np.frombuffer(got[0]["weights"], "<f4"), got[0]["offset"]
+
+
+def classify(spark, docs, labels, label: str = "quality", folds: int = 5, fold: int = 0, threshold: float = SHARE_OF_ONES, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES):
     """One row per document: score, and whether its label was kept from fitting."""
     from pyspark.sql import functions as F
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = F.coalesce(held_out(F.col("doc_id"), folds, fold), F.lit(False))
-    got = labelled_sample(docs, labels, label, ~out, fit_rows).mapInArrow(_features, "label int, features binary").collect()
-    got.sort(key=lambda r: (r["label"], bytes(r["features"])))
-    order = np.random.default_rng(3).permutation(len(got))
-    rows = [np.frombuffer(got[i]["features"], "<u4").astype(np.int64) for i in order]
-    weights, offset = fit(rows, np.array([got[i]["label"] for i in order]))
+    weights, offset = train(docs, labels, label, ~out, fit_rows, fit_bytes)
     shared = spark.sparkContext.broadcast(weights)
     scored = docs.select("doc_id", "text", out.alias("held_out")).mapInArrow(partial(_score, weights=shared, offset=offset), "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return attach(scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")), shared)

@@ -1,15 +1,23 @@
 """Token-id shards compressed by a Re-Pair grammar.
 
-Documents are range-partitioned by id and encoded; each partition is cut into shards of about SHARD_TOKENS ids. A shard
-counts adjacent pairs, replaces the most frequent ones by new symbols, and repeats that. Its file block stores the
-documents' ids and lengths, the rules, every rule's expansion length, and the final sequence. Expansion lengths give the
-place of any token without decoding what is before it.
+Documents are range-partitioned by id and encoded; each partition is cut into shards of about SHARD_TOKENS ids. In a shard
+the most frequent pairs of adjacent symbols are replaced by new symbols (nonterminals), again and again, until no pair
+occurs twice without overlap. A round takes all pairs with at least half the count of the most frequent one, or half the
+count that the round before asked for; where two of them overlap, the more frequent one is replaced, of equally frequent ones that of the greater hash (Re-Pair's order, in
+batches). No pair is left out for being rare, and the number of rules is not bounded.
 
-Block layout (little endian): magic 'RPR1'; u32 base (first nonterminal), rules, symbols, docs, tokens; then u16 rule
-pairs, u32 expansion lengths of the rules, u16 symbols, i64 doc ids, u8 null flags, u32 doc lengths.
+A shard's file block stores the documents' ids and lengths, the rules by round, every rule's expansion length, the final
+sequence, and the place of every SAMPLE-th symbol in the decoded ids. decode(start, n) finds its first symbol by that
+sample and descends only into the rules that hold wanted ids.
+
+Block layout (little endian): magic 'RPR2'; u32 bits of a symbol, bits of a length, base (first nonterminal), rounds,
+rules, symbols, docs; u64 tokens; then u32 rules by round, rule pairs, expansion lengths of the rules, symbols (these three
+packed to their bits), u64 sampled places, i64 doc ids, u8 null flags, u32 doc lengths.
 
 Edge cases: null or empty text is the end id alone; a null doc_id sorts first; rows with the same doc_id follow each
-other in the order of their texts; an empty table gives no shard; a document longer than a shard makes a larger shard.
+other in the order of their texts; an empty table gives no shard; a document longer than a shard makes a larger shard;
+extra columns are ignored, whatever their names; vocabularies and end ids up to 2**32 - 2 symbols are kept whole, a larger
+one is refused.
 """
 
 from __future__ import annotations
@@ -23,74 +31,145 @@ import numpy as np
 from arterial.llm.common import new_path
 from arterial.llm.tokens import ChunkEncoder, encoder, tokenizer_path
 
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
+HEAD = "<7IQ"
 SHARD_TOKENS = 1 << 20
-#: Rounds of counting and replacing, and the least count of a pair to be replaced.
-ROUNDS = 5
-LEAST = 24
-SYMBOLS = 1 << 16
+#: Every so many symbols the block stores a place.
+SAMPLE = 256
 SHARD_SCHEMA = "part int, shard int, first_token long, n_docs long, n_tokens long, block binary"
 
 
-def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST):
-    """(symbols, rules): ids with frequent pairs replaced; rule k stands for the pair of symbol base + k."""
+def _grouped(seq: np.ndarray):
+    """(places by pair, in ascending order within each; first place of each group; last place + 1) of all adjacent pairs."""
+    n = len(seq) - 1
+    wide, deep = int(seq.max()).bit_length(), max(1, n - 1).bit_length()
+    if 2 * wide + deep <= 64:  # pair and place in one number: one sort gives both
+        key = seq[:-1].astype(np.uint64) << np.uint64(wide) | seq[1:]
+        key = np.sort(key << np.uint64(deep) | np.arange(n, dtype=np.uint64))
+        at, key = (key & np.uint64((1 << deep) - 1)).astype(np.int64), key >> np.uint64(deep)
+    else:
+        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        at = np.argsort(key, kind="stable")
+        key = key[at]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return at, first, np.append(first[1:], n)
+
+
+def repair(ids: np.ndarray, base: int):
+    """(symbols, rules, rules by round): rule k stands for the pair of symbol base + k. Symbols are unsigned 32-bit."""
     seq = ids.astype(np.uint32)
-    rules = np.zeros((0, 2), np.uint32)
-    for r in range(rounds):
-        room = SYMBOLS - base - len(rules)
-        if len(seq) < 2 or room <= 0:
-            break
-        key = seq[:-1] << np.uint32(16) | seq[1:]
-        order = np.sort(key)
-        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-        count = np.diff(np.append(edge, len(order)))
-        often = np.flatnonzero(count >= least)
-        if not len(often):
+    rules: list[np.ndarray] = []
+    made = 0
+    spoilt = False  # whether the last round left pairs for which nothing could be replaced
+    least = 1 << 32
+    while len(seq) > 2:
+        at, first, end = _grouped(seq)
+        count = end - first
+        top = int(count.max())
+        if top < 2:
             break
-        room = max(1, room // (rounds - r))
-        if len(often) > room:
-            often = often[np.argsort(-count[often], kind="stable")[:room]]
-        pairs = np.sort(order[edge[often]])
-        # where each chosen pair occurs, by a table over the left and right symbols that take part
-        lefts, rights = np.unique(pairs >> np.uint32(16)), np.unique(pairs & np.uint32(0xFFFF))
-        left, right = np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS, np.int32)
-        left[lefts], right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
-        wide = len(rights) + 1
-        table = np.full((len(lefts) + 1) * wide, -1, np.int32)
-        table[left[pairs >> np.uint32(16)] * wide + right[pairs & np.uint32(0xFFFF)]] = np.arange(len(pairs))
-        found = table[(left * wide)[seq[:-1]] + right[seq[1:]]]
-        at = np.flatnonzero(found >= 0)
-        found = found[at]
-        # neighbours overlap: of each run of adjacent hits take every second, from the left
-        new_run = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - start) % 2 == 0
-        at, found = at[take], found[take]
-        used = np.bincount(found, minlength=len(pairs)) > 0
-        found = (np.cumsum(used) - 1)[found]
-        chosen = pairs[used]
-        seq[at] = found.astype(np.uint32) + np.uint32(base + len(rules))
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules = np.concatenate((rules, np.stack((chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)), 1)))
-    return seq, rules
-
-
-def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+        # after a round without gain only exact counts help: those of pairs of one symbol, which overlap themselves
+        least = 2 if spoilt else max(2, min(top, least) // 2)
+        chosen = np.flatnonzero(count >= least)
+        size = count[chosen]
+        offset = np.cumsum(size) - size
+        index = np.arange(int(size.sum())) + np.repeat(first[chosen] - offset, size)
+        place, group = at[index], np.repeat(np.arange(len(chosen)), size)
+        # of x x x every second pair counts, from the left
+        twin = seq[place] == seq[place + 1]
+        if twin.any():
+            p, g = place[twin], group[twin]
+            fresh = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (g[1:] != g[:-1])))
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(p)), 0))
+            keep = np.ones(len(place), bool)
+            keep[np.flatnonzero(twin)[(np.arange(len(p)) - begin) % 2 == 1]] = False
+            place, group = place[keep], group[keep]
+            size = np.bincount(group, minlength=len(chosen))
+        # the more frequent pair goes first; by a hash, a run of equally frequent ones is cut in many places at once
+        start = at[first[chosen]]
+        mixed = (seq[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seq[start + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
+        rank = np.empty(len(chosen), np.int32)
+        rank[np.lexsort((mixed, size))] = np.arange(1, len(chosen) + 1)
+        rank[size < 2] = 0
+        claim = np.zeros(len(seq) + 1, np.int32)  # claim[k + 1]: rank of the pair at place k
+        claim[place + 1] = rank[group]
+        mine = claim[place + 1]
+        take = (mine > 0) & (mine >= claim[place]) & (mine >= claim[place + 2])
+        place, group = place[take], group[take]
+        uses = np.bincount(group, minlength=len(chosen))
+        good = uses[group] >= 2
+        place, group = place[good], group[good]
+        if not len(place):
+            if spoilt:
+                break
+            spoilt = True
+            continue
+        spoilt = False
+        used = np.flatnonzero(uses >= 2)
+        number = np.zeros(len(chosen), np.uint32)
+        number[used] = np.arange(base + made, base + made + len(used), dtype=np.uint32)
+        rules.append(np.stack((seq[start[used]], seq[start[used] + 1]), 1))
+        made += len(used)
+        seq[place] = number[group]
+        left = np.ones(len(seq), bool)
+        left[place + 1] = False
+        seq = seq[left]
+    rounds = np.array([len(r) for r in rules], np.int64)
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), rounds
+
+
+def expansion_lengths(rules: np.ndarray, base: int, rounds: np.ndarray) -> np.ndarray:
+    """ids that each rule stands for; rules of a round use only symbols of earlier ones."""
     size = np.ones(base + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        size[base + k] = size[a] + size[b]
+    at = 0
+    for n in rounds.tolist():
+        size[base + at : base + at + n] = size[rules[at : at + n]].sum(1)
+        at += n
     return size[base:]
 
 
+def _pack(values: np.ndarray, bits: int) -> bytes:
+    """Numbers of `bits` bits each, on end."""
+    out = [np.packbits((values[k : k + 65536, None].astype(np.uint64) >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8), bitorder="little") for k in range(0, len(values), 65536)]
+    return b"".join(x.tobytes() for x in out)
+
+
+def _unpack(data: np.ndarray, bits: int, first: int, last: int) -> np.ndarray:
+    """Numbers first to last of a packed run."""
+    parts = [np.zeros(0, np.uint32)]
+    for k in range(first, last, 65536):
+        n = min(65536, last - k)
+        lo = k * bits
+        raw = np.unpackbits(data[lo // 8 : -(-(lo + n * bits) // 8)], bitorder="little")[lo % 8 : lo % 8 + n * bits].reshape(n, bits)
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, :bits] = raw
+        parts.append(np.packbits(wide, bitorder="little").view("<u4"))
+    return np.concatenate(parts)
+
+
 def encode_block(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, base: int) -> bytes:
-    seq, rules = repair(ids, base)
-    head = struct.pack("<5I", base, len(rules), len(seq), len(doc_ids), len(ids))
+    """The block of documents whose ids lie on end. base: above every id."""
+    if len(ids):
+        base = max(base, int(ids.max()) + 1)
+    if base + len(ids) >= 1 << 32:
+        raise ValueError("symbols of this vocabulary don't fit 32 bits")
+    seq, rules, rounds = repair(ids, base)
+    sizes = expansion_lengths(rules, base, rounds)
+    bits, deep = max(1, (base + len(rules) - 1).bit_length()), max(1, int(sizes.max(initial=0)).bit_length())
+    size = _sizes(seq, sizes, base)
+    head = struct.pack(HEAD, bits, deep, base, len(rounds), len(rules), len(seq), len(doc_ids), len(ids))
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
-    return b"".join([MAGIC, head, rules.astype("<u2").tobytes(), expansion_lengths(rules, base).astype("<u4").tobytes(),
-                     seq.astype("<u2").tobytes(), keys.tobytes(), null.tobytes(), lengths.astype("<u4").tobytes()])
+    return b"".join([MAGIC, head, rounds.astype("<u4").tobytes(), _pack(rules.ravel(), bits), _pack(sizes, deep), _pack(seq, bits),
+                     (np.cumsum(size) - size)[::SAMPLE].astype("<u8").tobytes(), keys.tobytes(), null.tobytes(), lengths.astype("<u4").tobytes()])
+
+
+def _sizes(symbols: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """ids that each symbol stands for."""
+    out = np.ones(len(symbols), np.int64)
+    rule = symbols >= base
+    out[rule] = sizes[symbols[rule].astype(np.int64) - base]
+    return out
 
 
 class Block:
@@ -99,48 +178,66 @@ class Block:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a Re-Pair block")
-        self.base, n_rules, n_symbols, n_docs, self.n_tokens = struct.unpack_from("<5I", data, 4)
-        at = 24
+        self.bits, deep, self.base, n_rounds, n_rules, self.n_symbols, n_docs, self.n_tokens = struct.unpack_from(HEAD, data, 4)
+        at = 4 + struct.calcsize(HEAD)
         arrays = []
-        for kind, n in (("<u2", 2 * n_rules), ("<u4", n_rules), ("<u2", n_symbols), ("<i8", n_docs), ("u1", n_docs), ("<u4", n_docs)):
+        packed = lambda n, bits: -(-n * bits // 8)
+        for kind, n in (("<u4", n_rounds), ("u1", packed(2 * n_rules, self.bits)), ("u1", packed(n_rules, deep)), ("u1", packed(self.n_symbols, self.bits)),
+                        ("<u8", -(-self.n_symbols // SAMPLE)), ("<i8", n_docs), ("u1", n_docs), ("<u4", n_docs)):
             arrays.append(np.frombuffer(data, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        rules, self.sizes, self.symbols, keys, null, self.lengths = arrays
-        self.rules = rules.reshape(-1, 2)
+        self.rounds, rules, sizes, self.packed, self.places, keys, null, self.lengths = arrays
+        self.rules = _unpack(rules, self.bits, 0, 2 * n_rules).reshape(-1, 2)
+        self.sizes = _unpack(sizes, deep, 0, n_rules)
         self.doc_ids = [None if z else int(k) for k, z in zip(keys, null, strict=True)]
-        self.symbol_sizes = np.concatenate((np.ones(self.base, np.int64), self.sizes.astype(np.int64)))
-        self._flat = None
-
-    def _expansions(self):
-        """All expansions on end, and where each symbol's begins."""
-        if self._flat is None:
-            size = self.symbol_sizes
-            begin = np.cumsum(size) - size
-            flat = np.empty(int(size.sum()), np.uint32)
-            flat[: self.base] = np.arange(self.base)
-            for k, (a, b) in enumerate(self.rules.tolist()):
-                at, cut = begin[self.base + k], size[a]
-                flat[at : at + cut] = flat[begin[a] : begin[a] + cut]
-                flat[at + cut : at + cut + size[b]] = flat[begin[b] : begin[b] + size[b]]
-            self._flat = flat, begin
-        return self._flat
-
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        flat, begin = self._expansions()
-        size = self.symbol_sizes[symbols]
-        ends = np.cumsum(size)
-        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[symbols] - (ends - size), size)
-        return flat[index]
+
+    def _expand(self, symbols: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """ids of the symbols; flat: ids of the rules so far, on end, from `begin` each."""
+        size = _sizes(symbols, self.sizes, self.base)
+        rule = size > 1
+        out, ends, long = np.repeat(symbols, size), np.cumsum(size), size[rule]
+        inner = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+        out[inner + np.repeat((ends - size)[rule], long)] = flat[inner + np.repeat(begin[symbols[rule].astype(np.int64) - self.base], long)]
+        return out
+
+    def decode_all(self) -> np.ndarray:
+        """All ids. Every rule is expanded once; those of a round take at most half the ids of the shard."""
+        size = self.sizes.astype(np.int64)
+        begin = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.uint32)
+        at = done = 0
+        for n in self.rounds.tolist():
+            new = self._expand(self.rules[at : at + n].ravel(), flat, begin)
+            flat[done : done + len(new)] = new
+            at, done = at + n, done + len(new)
+        return self._expand(_unpack(self.packed, self.bits, 0, self.n_symbols), flat, begin)
 
     def decode(self, start: int = 0, n: int | None = None) -> np.ndarray:
-        """ids [start, start + n) of the shard; only the symbols that hold them are expanded."""
+        """ids [start, start + n) of the shard. Only symbols that hold some of them are expanded, and only rules in use."""
         n = self.n_tokens - start if n is None else min(n, self.n_tokens - start)
         if n <= 0:
             return np.zeros(0, np.uint32)
-        ends = np.cumsum(self.symbol_sizes[self.symbols])
-        first, last = np.searchsorted(ends, [start, start + n - 1], "right")
-        skip = start - (int(ends[first - 1]) if first else 0)
-        return self._expand(self.symbols[first : last + 1])[skip : skip + n]
+        first = (int(np.searchsorted(self.places, start, "right")) - 1) * SAMPLE
+        last = min(int(np.searchsorted(self.places, start + n, "left")) * SAMPLE, self.n_symbols)
+        skip = start - int(self.places[first // SAMPLE])
+        seq = _unpack(self.packed, self.bits, first, last)
+        # a level at a time: what lies before or after the wanted ids goes, every rule left becomes its pair
+        while True:
+            size = _sizes(seq, self.sizes, self.base)
+            ends = np.cumsum(size)
+            a, b = int(np.searchsorted(ends, skip, "right")), int(np.searchsorted(ends, skip + n, "left")) + 1
+            if a:
+                skip -= int(ends[a - 1])
+            seq, size = seq[a:b], size[a:b]
+            rule = size > 1
+            if not rule.any():
+                return seq[skip : skip + n]
+            place = np.cumsum(1 + rule) - 1 - rule
+            wide = np.empty(len(seq) + int(rule.sum()), np.uint32)
+            wide[place] = seq
+            pair = self.rules[seq[rule].astype(np.int64) - self.base]
+            wide[place[rule]], wide[place[rule] + 1] = pair[:, 0], pair[:, 1]
+            seq = wide
 
 
 def _shards(batches, tokenizer: str, end_id: int, shard_tokens: int):
@@ -199,7 +296,7 @@ def _documents(batches):
     for batch in batches:
         for row in batch.to_pylist():
             block = Block(row["block"])
-            ids = block.decode().astype("<u4").tobytes()
+            ids = block.decode_all().astype("<u4", copy=False).tobytes()
             ends = np.cumsum(block.lengths.astype(np.int64))
             starts = ends - block.lengths
             crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -5,25 +5,32 @@ Words are folded first (lower case, marks inside dropped, digits and marks that
 forms meet their plain ones. Features of a text: hits, their density and strength, distinct entries, hits near a
 second-person word, shares of capitals, marks and exclamations, shares of obfuscated words, and length.
 
-Fitting uses a bounded sample of labelled rows (`fit_rows`, those with the smallest hash of doc_id). Features of a fitting
-row use the lexicon of the other half of the sample, so the trees see what they will meet; the scores of trees fitted
-without a row calibrate them. Scoring reads every whole text. Labels, language, source and id are never inputs.
+Fitting uses a bounded sample of labelled rows: those with the smallest hash of doc_id, at most `fit_rows` of them and at
+most `fit_bytes` of whole texts (a row that doesn't fit any more is passed over). It is cut into four folds: features of
+a fitting row use the lexicon of the three folds it isn't in, so the trees see what they will meet; the scores of trees
+fitted without a row's fold calibrate them. One executor task fits; the driver gets nothing but the model. Scoring reads
+every whole text. Labels, language, source and id are never inputs.
 
 Edge cases: null or empty text has features of 0 and a score like any other; without labelled rows of both classes every
-score is the share of ones, or 0; repeated rows score alike; filter_toxic() keeps extra columns.
+score is the share of ones, or 0; repeated rows score alike. Where an id has several labels the greatest counts, where it
+has several texts the first in order; a null id or label fits nothing, a null id isn't held out. Texts of any length are
+read whole. Empty documents give no rows; filter_toxic() keeps extra columns and rows without an id.
 """
 
 from __future__ import annotations
 
+import pickle
 from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import U64, discard, materialize, mix, quiet_worker, slices, text_bytes, text_column, word_spans
+from arterial.llm.common import U64, attach, mix, quiet_worker, slices, text_bytes, text_column, word_spans
 from arterial.llm.common import _BYTE, _power_tables
-from arterial.llm.quality_clf import held_out, labelled_sample
+from arterial.llm.quality_clf import held_out, joined, labelled_sample, shuffled, within
 
 FIT_ROWS = 6000
+#: Bytes of text, all rows of the sample together: the bound on what the fitting task holds.
+FIT_BYTES = 32 << 20
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 LEXICON_SIZE = 600
@@ -87,9 +94,9 @@ def _hash_words(words) -> np.ndarray:
     return np.unique(h)
 
 
-def _hashed_entries(texts, first: int, last: int):
+def _hashed_entries(buf: np.ndarray, offsets: np.ndarray):
     """(text, hash) of all distinct words and beginnings, by text."""
-    w = Words(*text_bytes(texts.slice(first, last - first)))
+    w = Words(buf, offsets)
     keys = [(w.doc[at], h) for at, h in [w.hashes(), *[w.hashes(n) for n in PREFIXES]]]
     doc, h = np.concatenate([k[0] for k in keys]), np.concatenate([k[1] for k in keys])
     order = np.lexsort((h, doc))
@@ -99,31 +106,22 @@ def _hashed_entries(texts, first: int, last: int):
     return doc[new], h[new]
 
 
-def _entry_rows(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        texts = text_column(batch.column(0), lower=False)
-        for first, last in slices(texts):
-            h = _hashed_entries(texts, first, last)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
-
-
-def _entries(batches, shared):
-    """label, text, and those of its entries that the lexicon may take."""
-    import pyarrow as pa
-
-    known = shared.value
-    for batch in batches:
-        texts, labels = text_column(batch.column(0), lower=False), batch.column(1)
-        for first, last in slices(texts):
-            doc, h = _hashed_entries(texts, first, last)
-            keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
-            doc, h = doc[keep], h[keep]
-            ends = np.searchsorted(doc, np.arange(last - first + 1))
-            raw = [h[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [labels.slice(first, last - first).cast(pa.int32()), texts.slice(first, last - first).cast(pa.string()), pa.array(raw, pa.binary())], ["label", "text", "entries"])
+def lexicon_entries(texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
+    """By text, those of its entries that a lexicon may take: the ones in LEAST_TEXTS toxic texts or more."""
+    up = [i for i, t in enumerate(y) if t]
+    known = np.zeros(0, U64)
+    if up:
+        keys, n = np.unique(np.concatenate([_hashed_entries(*joined([texts[i] for i in up[a : a + 256]]))[1] for a in range(0, len(up), 256)]), return_counts=True)
+        known = keys[n >= LEAST_TEXTS]
+    out: list[np.ndarray] = []
+    for a in range(0, len(texts), 256):
+        part = texts[a : a + 256]
+        doc, h = _hashed_entries(*joined(part))
+        keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+        doc, h = doc[keep], h[keep]
+        ends = np.searchsorted(doc, np.arange(len(part) + 1))
+        out += [h[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
 
 
 def learn_lexicon(entries: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,47 +316,43 @@ class Model:
         return np.clip(flat * 0.999 + 0.001 / (1 + np.exp(-raw)), 0.0, 1.0)
 
 
-def fit(texts: list[str], entries: list[np.ndarray], labels: np.ndarray) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     y = (labels > 0).astype(float)
     if not len(y) or y.all() or not y.any():
         return Model((np.zeros(0, U64), np.zeros(0)), None, None, float(y.mean()) if len(y) else 0.0)
     persons = _hash_words(PERSONS)
-    half = np.arange(len(y)) % 4
+    entries = lexicon_entries(texts, y)
+    fold = np.arange(len(y)) % 4
     x = np.zeros((len(y), len(FEATURES)))
-
-    def of(rows, lexicon):
-        raw = [texts[i].encode() for i in rows]
-        return features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64), lexicon, persons)
-
     for k in range(4):
-        inside, rest = np.flatnonzero(half == k), np.flatnonzero(half != k)
+        inside, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
         lexicon = learn_lexicon([entries[i] for i in rest], y[rest])
         for a in range(0, len(inside), 256):
-            x[inside[a : a + 256]] = of(inside[a : a + 256], lexicon)
+            x[inside[a : a + 256]] = features(*joined([texts[i] for i in inside[a : a + 256]]), lexicon, persons)
     raw = np.zeros(len(y))
     for k in range(4):
-        raw[half == k] = Trees().fit(x[half != k], y[half != k]).raw(x[half == k])
+        raw[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
     return Model(learn_lexicon(entries, y), Trees().fit(x, y), isotonic(raw, y), float(y.mean()))
 
 
-def train(docs, labels, label: str = "toxic", keep=None, fit_rows: int = FIT_ROWS) -> Model:
+def _fit(batches, fit_bytes: int):
+    """The fitted model, as one row."""
+    import pyarrow as pa
+
+    quiet_worker()
+    rows = shuffled(list(within(batches, fit_bytes)), 5)
+    model = fit([t for _, t in rows], np.array([label for label, _ in rows]))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
+def train(docs, labels, label: str = "toxic", keep=None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
+    """The model, fitted in one executor task."""
     from pyspark.sql import functions as F
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keep = F.lit(True) if keep is None else keep
-    spark = docs.sparkSession
-    sample = materialize(spark, labelled_sample(docs, labels, label, keep, fit_rows), "sample")
-    # entries of too few toxic texts can't enter the lexicon: they stay on the executors
-    often = sample.where("label > 0").mapInArrow(_entry_rows, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    known = np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(U64))
-    shared = spark.sparkContext.broadcast(known)
-    got = sample.mapInArrow(partial(_entries, shared=shared), "label int, text string, entries binary").collect()
-    got.sort(key=lambda r: (r["label"], r["text"] or ""))
-    order = np.random.default_rng(5).permutation(len(got))
-    model = fit([got[i]["text"] or "" for i in order], [np.frombuffer(got[i]["entries"], U64) for i in order], np.array([got[i]["label"] for i in order]))
-    shared.destroy()
-    discard(spark, sample)
-    return model
+    sample = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, fit_rows)
+    got = sample.mapInArrow(partial(_fit, fit_bytes=fit_bytes), "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([], np.zeros(0))
 
 
 def _scores(texts, model: Model) -> np.ndarray:
@@ -377,15 +371,15 @@ def _score(batches, shared):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], ["doc_id", "held_out", "score"])
 
 
-def classify(spark, docs, labels, label: str = "toxic", folds: int = 3, fold: int = 1, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS):
+def classify(spark, docs, labels, label: str = "toxic", folds: int = 3, fold: int = 1, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES):
     """One row per document: score, and whether its label was kept from fitting."""
     from pyspark.sql import functions as F
 
     out = F.coalesce(held_out(F.col("doc_id"), folds, fold), F.lit(False))
-    shared = spark.sparkContext.broadcast(train(docs, labels, label, ~out, fit_rows))
+    shared = spark.sparkContext.broadcast(train(docs, labels, label, ~out, fit_rows, fit_bytes))
     three = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = three.select("doc_id", "text", out.alias("held_out")).mapInArrow(partial(_score, shared=shared), "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return attach(scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")), shared)
 
 
 def _filter(batches, shared, threshold: float, text_col: str):
@@ -397,7 +391,7 @@ def _filter(batches, shared, threshold: float, text_col: str):
         yield batch.filter(pa.array(score < threshold))
 
 
-def filter_toxic(spark, docs, labels, label: str = "toxic", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS):
+def filter_toxic(spark, docs, labels, label: str = "toxic", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES):
     """docs without those scored at the threshold or above, all columns kept; fitted on all labelled rows of the sample."""
-    shared = spark.sparkContext.broadcast(train(docs, labels, label, None, fit_rows))
-    return docs.mapInArrow(partial(_filter, shared=shared, threshold=threshold, text_col="text"), docs.schema)
+    shared = spark.sparkContext.broadcast(train(docs, labels, label, None, fit_rows, fit_bytes))
+    return attach(docs.mapInArrow(partial(_filter, shared=shared, threshold=threshold, text_col="text"), docs.schema), shared)

@@ -58,40 +58,77 @@ def test_packing_covers_every_id_once(spark):
     rows = packing.pack(table(spark, DOCS), most=512).collect()
     assert all(r.length & (r.length - 1) == 0 and r.length <= 512 and r.offset == 0 for r in rows)
     assert len({r.sequence_id for r in rows}) == len(rows)
-    e = ChunkEncoder(tokenizer_path("byte_bpe_50k.json"))
-    whole = e.encode([DOCS[0][1]])[0] + (1).to_bytes(4, "little")
-    mine = sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.start)
-    assert b"".join(bytes(r.ids) for r in mine) == whole and all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in mine)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    for key, text in ((1, DOCS[0][1]), (None, DOCS[4][1]), (5, DOCS[5][1])):
+        whole = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        pieces = sorted((r for r in rows if r.doc_id == key), key=lambda r: r.start)
+        assert b"".join(bytes(r.ids) for r in pieces) == whole and {r.doc_tokens for r in pieces} == {len(whole) // 4}
+        assert [r.start for r in pieces] == [sum(x.length for x in pieces[:k]) for k in range(len(pieces))]
+    # equal lengths follow each other, with consecutive sequence ids
+    for part in {r.sequence_id >> 40 for r in rows}:
+        lengths = [r.length for r in sorted(rows, key=lambda r: r.sequence_id) if r.sequence_id >> 40 == part]
+        assert lengths == sorted(lengths)
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
     assert [r.length for r in rows if r.doc_id == 2] == [1] and len([r for r in rows if r.doc_id == 3]) == 2
     assert packing.pack(table(spark, []).limit(0)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(table(spark, DOCS), most=1000)
 
 
+def block_of(ids, base=49408):
+    return repair.Block(repair.encode_block([1], np.array([len(ids)]), np.array(ids, "<u4"), base))
+
+
 def test_repair_blocks_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     words = [rng.integers(0, 49408, rng.integers(1, 6)) for _ in range(50)]
     ids = np.concatenate([words[k] for k in rng.integers(0, 50, 4000)]).astype("<u4")
     b = repair.Block(repair.encode_block([7, None], np.array([len(ids) - 3, 3]), ids, 49408))
-    assert (b.decode() == ids).all() and len(b.symbols) < len(ids) / 2 and b.doc_ids == [7, None]
-    for start, n in ((0, 1), (17, 100), (len(ids) - 2, 50), (5, 0)):
+    assert (b.decode() == ids).all() and (b.decode_all() == ids).all() and b.n_symbols < len(ids) / 2 and b.doc_ids == [7, None]
+    for start, n in ((0, 1), (17, 100), (len(ids) - 2, 50), (5, 0), *rng.integers(0, len(ids), (50, 2)).tolist()):
         assert (b.decode(start, n) == ids[start : start + n]).all()
-    for few in ([], [5], [5, 5, 5, 5]):
-        few = np.array(few, "<u4")
-        assert (repair.Block(repair.encode_block([1], np.array([len(few)]), few, 49408)).decode() == few).all()
-    same = np.full(1001, 9, "<u4")
-    assert (repair.Block(repair.encode_block([1], np.array([1001]), same, 49408)).decode() == same).all()
+    for few in ([], [5], [5, 5, 5, 5], [9] * 1001):
+        assert block_of(few).decode().tolist() == block_of(few).decode_all().tolist() == few
+
+
+def test_repair_goes_on_until_no_pair_occurs_twice():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        ids = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(0, 150))).astype(np.uint32)
+        seq, rules, rounds = repair.repair(ids, 10)
+        last = {}
+        for k, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)):
+            assert k - last.setdefault(pair, k) < 2, (ids, seq)
+        assert sum(rounds) == len(rules)
+    phrase = rng.integers(0, 40000, 1000)
+    for times in (20, 64):
+        b = block_of(np.tile(phrase, times))
+        assert b.n_symbols < 5 and len(b.rules) < 1010 and (b.decode() == np.tile(phrase, times)).all()
+
+
+def test_repair_keeps_large_vocabularies():
+    rng = np.random.default_rng(2)
+    for base in (65530, 80_000, 1 << 24, 1 << 30):
+        ids = rng.integers(base - 40, base, 3000)
+        assert (block_of(ids, base).decode_all() == ids).all() and (block_of(ids, 5).decode() == ids).all()
+    with pytest.raises(ValueError):
+        block_of([1, 2, 3], (1 << 32) - 2)
 
 
 def test_repair_digests(spark):
-    rows = repair.round_trip(spark, table(spark, DOCS), shard_tokens=500, partitions=3).collect()
-    e = ChunkEncoder(tokenizer_path("word_bpe_49k.json"))
-    at = 0
-    order = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0))
-    for (key, text), r in zip(order, sorted(rows, key=lambda r: r.start), strict=True):
-        ids = e.encode([text or ""])[0] + (1).to_bytes(4, "little")
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (key, at, len(ids) // 4, zlib.crc32(ids))
-        at += len(ids) // 4
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    for end_id in (1, 70_000):
+        rows = repair.round_trip(spark, table(spark, DOCS), shard_tokens=500, partitions=3, end_id=end_id).collect()
+        at = 0
+        order = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0))
+        for (key, text), r in zip(order, sorted(rows, key=lambda r: r.start), strict=True):
+            ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, end_id], "<u4")
+            assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (key, at, len(ids), zlib.crc32(ids.tobytes()))
+            at += len(ids)
     assert repair.round_trip(spark, table(spark, []).limit(0)).count() == 0
 
 
@@ -180,6 +217,31 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept[0].asDict().keys() == {"doc_id", "text", "score", "sequence_id"}
 
 
+def test_one_id_on_two_texts_loses_neither(spark):
+    base = near_docs()
+    docs = [(1, base[0][1]), (1, "a clean text of its own that nothing else is like"), (1, base[0][1]), (2, base[0][1] + " more"), (3, "a second clean text of its own, quite unlike")]
+    rows = B.near_duplicates(spark, table(spark, docs)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in rows) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
+    kept = sorted((r.doc_id, r.text) for r in B.keep_one(spark, table(spark, docs)).collect())
+    assert kept == sorted({docs[0], docs[1], docs[4]})
+
+
+def test_components_of_a_bucket_meet_each_other_only(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 8)
+    members = spark.createDataFrame([(7, 1, 0, k) for k in range(44)], "bucket long, band int, hub long, node long")
+    roots = spark.createDataFrame([(k, 0) for k in range(30)] + [(k, 30) for k in range(30, 41)], "node long, root long")
+    registers = spark.createDataFrame([(k, 9, bytes(B.REGISTERS), b"") for k in range(44)], "node long, size long, registers binary, bins binary")
+    known = spark.createDataFrame([], "a long, b long")
+    pairs, tables = B._candidates(spark, members, roots, registers, known, False, 0.8)
+    root = lambda k: 0 if k < 30 else 30 if k < 41 else k
+    # the members are equal, so their first shared band is 0: none comes from band 1
+    assert pairs.count() == 0
+    pairs, _ = B._candidates(spark, members.selectExpr("bucket", "0 as band", "hub", "node"), roots, registers, known, False, 0.8)
+    assert {tuple(r) for r in pairs.collect()} == {(a, b) for a in range(44) for b in range(a + 1, 44) if root(a) != root(b)}
+    blocks = {(r.own, r.part): len(r.members) for r in tables[-1].collect()}
+    assert sum(blocks.values()) == 44 and {own for own, _ in blocks} == {0, 30, -1}
+
+
 def test_a_large_group_is_one_class_through_blocks(spark, monkeypatch):
     monkeypatch.setattr(B, "BLOCK", 8)
     rng = np.random.default_rng(3)
@@ -195,7 +257,7 @@ def test_a_large_group_is_one_class_through_blocks(spark, monkeypatch):
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, k) for k in range(101, 130)]
     got, _ = B.components(spark, spark.createDataFrame(links, "a long, b long"))
-    m = {r.doc_id: r.root for r in got.collect()}
+    m = {r.node: r.root for r in got.collect()}
     assert m == {i: 0 for i in range(1, 21)} | {k: 100 for k in range(101, 130)}
     assert B.components(spark, spark.createDataFrame([], "a long, b long"))[0].count() == 0
 
@@ -232,7 +294,8 @@ def test_items_with_one_id_are_searched_in_every_block(spark, monkeypatch):
     texts = [" ".join(words(rng, 30)) for _ in range(7)]
     items = [(k // 4, t) for k, t in enumerate(texts)]  # four and three texts of one id, in blocks of three
     docs = [(k, " ".join(words(rng, 60)) + " " + t) for k, t in enumerate(texts)] + [(50, " ".join(words(rng, 90)))]
-    monkeypatch.setattr(D, "ITEMS", 3)
+    monkeypatch.setattr(D, "PASS_WORDS", 95)
+    monkeypatch.setattr(D, "BLOCK_WORDS", 40)
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(spark, table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(k, k // 4) for k in range(7)}
 
@@ -270,18 +333,43 @@ def test_short_items_match_word_for_word(spark):
     assert all(r.cosine is None and r.lcs == 1 and r.answer for r in rows)
 
 
-def test_common_subsequence_by_brute_force():
+def longest(a, b):
+    t = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+    return int(t[-1, -1])
+
+
+def test_verify_equals_all_stretches_by_brute_force():
     rng = np.random.default_rng(5)
-    for _ in range(50):
-        a, b = [str(x) for x in rng.integers(0, 6, 12)], [str(x) for x in rng.integers(0, 6, 20)]
-        t = np.zeros((13, 21), int)
-        for i in range(12):
-            for j in range(20):
-                t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
-        at = D.longest_common(a, b)[::-1]
-        assert len(at) == t[12, 20] and at == sorted(set(at))
-        it = iter(a)
-        assert all(b[j] in it for j in at)
+    passed = 0
+    for _ in range(300):
+        a, b = [str(x) for x in rng.integers(0, 9, 10)], [str(x) for x in rng.integers(0, 9, 50)]
+        if rng.random() < 0.6:
+            part = [w for w in a if rng.random() < 0.8] + a[-3:] * int(rng.random() < 0.3)
+            k = int(rng.integers(0, 50))
+            b[k:k] = part
+        tail, best = a[-3:], None
+        for lo in range(len(b)):
+            stretch = b[lo : lo + 17]
+            last = lo + max((k for k, w in enumerate(stretch) if w in a), default=0)
+            answer = any(b[k : k + 3] == tail and lo - 3 <= k <= last + 1 for k in range(len(b) - 2))
+            n = longest(a, stretch)
+            if b[lo] in a and n >= (6 if answer else 8) and (best is None or n > best):
+                best = n
+        got = D.verify(a, b, 0.8, 0.6)
+        assert (got and round(got[0] * 10)) == best
+        passed += got is not None
+        if got:
+            assert longest(a, b[got[2] : got[3]]) == best
+    assert 60 < passed < 290
+
+
+def test_verify_finds_the_compact_match_beside_a_scattered_one():
+    item = list("abcdefghij")
+    words = list("abcde") + ["x"] * 30 + list("fghij") + ["x"] * 30 + list("abcdefghi")
+    assert D.verify(item, words)[0] == 0.9
 
 
 def test_secrets_equal_plain_patterns(spark):
@@ -376,6 +464,48 @@ def test_html_article(spark):
     assert rows[1].text == "" and rows[0].n_chars == len(rows[0].text)
 
 
+BODY = "<p>A whole paragraph of the article that is long enough to be read, with some of the words that are in all of the texts.</p>"
+BODY_TEXT = BODY[3:-4]
+
+
+@pytest.mark.parametrize("page", [
+    f'<article class="overflow-hidden">{BODY}</article>', f'<article><div class="overflow-hidden">{BODY}</div></article>', f'<div class="layout has-sidebar"><article>{BODY}</article></div>',
+    f'<div class="post no-comments"><article>{BODY}</article></div>', f'<article><section id="alert-systems">{BODY}</section></article>', f'<main><article>{BODY.replace("<p>", "<p title=a-hidden-valley>")}</article></main>',
+    f'<article>{BODY}<section class="comments"><p>I like it</p></section><div class="cookie-notice">We use them</div><div id="ad-300x250">Buy</div><p hidden>no</p><p style="display: none">no</p></article>',
+    f'<article>{BODY}<ul><li><a href=1>one</a></li><li><a href=1>two</a></li><li><a href=1>three</a></li></ul></article><p>Outside of it</p>'])
+def test_html_names_of_layout_drop_nothing_and_whole_names_do(page):
+    assert html_extract.main_text(page) == BODY_TEXT
+
+
+def test_html_keeps_captions_marks_and_linked_paragraphs_of_an_article():
+    page = f"<article>{BODY}<p>&copy; law is its matter</p><figure><img><figcaption>A caption</figcaption></figure><p><a href=x>All of it a link</a></p><fieldset>kept</fieldset></article>"
+    assert html_extract.main_text(page) == BODY_TEXT + "\n\xa9 law is its matter\nA caption\nAll of it a link\nkept"
+
+
+def test_html_labelled_blocks_without_any_tag_that_helps():
+    prose = "It was the best of the days and the people of the town were in the streets to see what there was to be seen by all of them. "
+    rng = np.random.default_rng(11)
+    right = wrong = missed = 0
+    for _ in range(100):
+        parts = [("<p><a href=a>Home</a> <a href=b>News</a></p>", 0), ("<p><a href=a>The way to all of the other pages of this site</a></p>", 0)]
+        for _ in range(int(rng.integers(2, 7))):
+            n = int(rng.integers(0, 4))
+            parts.append(("<p>" + (prose * n if n else "A short line of it") + "</p>", 1))
+        parts += [(prose.join(["<p>", "</p>"]), 1), ("<p>Terms <a href=x>Privacy</a></p>", 0), ("<p>XK-20 / 4711 / 0815 / 9999 -- 17.5 % 33 % 12 % 18 % 99 % 44 % 21 % 16 % 71 %</p>", 0)]
+        got = html_extract.main_text("<body>" + "".join(x for x, _ in parts)).split("\n")
+        want = [" ".join(re.sub("<[^>]*>", "", x).split()) for x, good in parts if good]
+        both = sum((collections.Counter(got) & collections.Counter(want)).values())
+        right, wrong, missed = right + both, wrong + len(got) - both, missed + len(want) - both
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+
+
+def test_html_edge_rows(spark):
+    rows = [(1, "u", BODY * 3000, "x"), (1, "u", BODY * 3000, "x"), (None, None, BODY, "y"), (2, None, "", None)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert len(got) == 4 and got[0].n_chars == 3000 * (len(BODY_TEXT) + 1) - 1 and got[0] == got[1] and got[2].page_id is None and got[3].text == ""
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_html_without_article_uses_both_passes():
     good = "<p>" + "It was the best of the days and the people of the town were in the streets to see what there was to be seen by all of them. " * 3 + "</p>"
     links = "<p><a href=a>one of the links</a> <a href=b>and another of the links that go on</a></p>"
