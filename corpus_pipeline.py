@@ -2,12 +2,16 @@
 
 Toxic documents go; one document of each near-duplicate class stays; documents that hold a benchmark item go; secrets are
 replaced by marks; what is left is packed into sequences. Clean documents pass every filtering stage unchanged.
+
+Edge cases: rows with a null doc_id or text, repeated rows and texts of any length pass as the stages' operators define;
+extra columns are kept up to packing; empty documents give an empty result; without labels of both classes or without
+benchmark items the stage that needs them drops nothing.
 """
 
 from __future__ import annotations
 
 from arterial.llm import bagminhash, decontam, packing, secrets, toxicity
-from arterial.llm.common import materialize
+from arterial.llm.common import discard, materialize, release
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -48,6 +52,11 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir: str):
     docs = _read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        found = stage(spark, docs, sf_dir)
+        written = materialize(spark, found, f"stage-{name}")
+        release(spark, found)
+        if k:
+            discard(spark, docs)  # the stage before is spent
+        docs = written
     return docs
