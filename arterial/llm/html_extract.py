@@ -9,8 +9,8 @@ each of its parts is such a word or a neutral one).
 First pass: length, link density and stop-word density decide each block that is left: good, bad, or open (short, or in
 between). Inside the page's article or main element the same figures are read more kindly: shorter prose is good too, and
 a block isn't bad for few stop words, nor for links unless three or more blocks of links follow each other (a list of
-links). Second pass: an open block takes the label that its nearest decided neighbours on both sides agree on; where they
-differ, the nearer one's, good at equal distance. Neighbours are looked for on the same side of the article's border. Of
+links). Second pass: prose that is only too short becomes good beside a good block; another open block takes the label that
+its nearest decided neighbours on both sides agree on; where they differ, the nearer one's, good at equal distance. Neighbours are looked for on the same side of the article's border. Of
 an article without a good block all is good but lists of links; elsewhere an open block without neighbours is bad. On a
 page whose article holds good text, blocks outside are bad.
 
@@ -166,8 +166,12 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def classify(text: str, linked: int, in_article: bool) -> bool | None:
-    """First pass: good, bad, or open (None)."""
+#: The label of prose that is too short to be good by itself.
+NEAR = "near"
+
+
+def classify(text: str, linked: int, in_article: bool) -> bool | str | None:
+    """First pass: good, bad, near, or open (None)."""
     density = linked / len(text)
     if in_article and density > ARTICLE_LINKS:
         return None  # label_links() looks at its neighbours
@@ -178,7 +182,7 @@ def classify(text: str, linked: int, in_article: bool) -> bool | None:
     words = _WORD.findall(text.lower())
     stops = sum(w in STOPS for w in words) / max(1, len(words))
     if stops >= MANY_STOPS:
-        return True if in_article or len(text) > LONG else None
+        return True if in_article or len(text) > LONG else NEAR
     return None if in_article or stops >= FEW_STOPS else False
 
 
@@ -193,30 +197,32 @@ def label_links(found: list[tuple[str, int, bool]], labels: list[bool | None]) -
         first = k + 1
 
 
-def inherit(labels: list[bool | None]) -> list[bool]:
-    """Second pass: open blocks take their nearest decided neighbours' label; bad if there is none."""
-    n = len(labels)
-    before: list[tuple[int, bool] | None] = []
-    last = None
-    for k, x in enumerate(labels):
-        last = (k, x) if x is not None else last
-        before.append(last)
-    out = [False] * n
-    after = None
-    for k in range(n - 1, -1, -1):
-        x = labels[k]
-        after = (k, x) if x is not None else after
-        if x is not None:
-            out[k] = x
-        elif before[k] is None or after is None:
-            near = before[k] or after
-            out[k] = near[1] if near else False
-        elif before[k][1] == after[1]:
-            out[k] = after[1]
-        else:
-            good = before[k] if before[k][1] else after
-            bad = after if before[k][1] else before[k]
-            out[k] = abs(good[0] - k) <= abs(bad[0] - k)
+def _decided(labels: list) -> list[tuple]:
+    """By block, the nearest decided one before it and after it, as (place, label) or None."""
+    sides = []
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        near, last = [None] * len(labels), None
+        for k in order:
+            near[k] = last
+            if labels[k] is True or labels[k] is False:
+                last = (k, labels[k])
+        sides.append(near)
+    return list(zip(*sides, strict=True))
+
+
+def inherit(labels: list) -> list[bool]:
+    """Second pass: prose that is near good is bad only between bad ones; then open blocks take their nearest decided
+    neighbours' label, the nearer one's where they differ, good at equal distance. Without any they are bad."""
+    labels = [any(n and n[1] for n in near) if x == NEAR else x for x, near in zip(labels, _decided(labels), strict=True)]
+    out = []
+    for k, (x, near) in enumerate(zip(labels, _decided(labels), strict=True)):
+        if x is None:
+            far = {True: len(labels), False: len(labels)}
+            for n in near:
+                if n:
+                    far[n[1]] = min(far[n[1]], abs(n[0] - k))
+            x = far[True] <= far[False] and far[True] < len(labels)
+        out.append(x)
     return out
 
 
@@ -231,7 +237,7 @@ def main_text(page: str | None) -> str:
         at = [k for k, x in enumerate(found) if x[2] == side]
         seen = [labels[k] for k in at]
         if side and True not in seen:  # no prose in a known language: the article's tag decides all but lists of links
-            seen = [label is None for label in seen]
+            seen = [label is not False for label in seen]
         for k, label in zip(at, inherit(seen), strict=True):
             good[k] = label
     return "\n".join(x[0] for x, keep in zip(found, good, strict=True) if keep)
