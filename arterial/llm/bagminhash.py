@@ -33,7 +33,7 @@ from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import U64, attach, discard, materialize, partitions_for, mix, quiet_worker, slices, text_bytes, text_column, word_hashes
+from arterial.llm.common import U64, attach, bound_batches, discard, materialize, mix, partitions_for, quiet_worker, slices, text_bytes, text_column, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -253,7 +253,7 @@ def _across(batches, best: bool, least: float):
     quiet_worker()
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for row in batch.to_pylist():
+        for row in (r for k in range(0, batch.num_rows, 8) for r in batch.slice(k, 8).to_pylist()):
             left, right = row["left"], row["right"] or row["left"]
             x = np.frombuffer(b"".join(m["registers"] for m in left), np.uint8).reshape(len(left), -1)
             y = np.frombuffer(b"".join(m["registers"] for m in right), np.uint8).reshape(len(right), -1)
@@ -330,6 +330,7 @@ def _candidates(spark, members, roots, registers, known, best: bool, least: floa
 def _classes(spark, docs, id_col: str, text_col: str, least: float):
     """(doc_id, h, node, root, class_id, copy_of), one row per row of docs with an id; h: a hash of the text. Different
     classes have different roots, also where one id on different texts is the least of both."""
+    bound_batches(spark)
     from pyspark.sql import functions as F
 
     text = F.col(text_col).cast("string")

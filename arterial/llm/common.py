@@ -15,6 +15,18 @@ import pyarrow.compute as pc
 U64 = np.uint64
 
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark) -> None:
+    """Small Arrow batches, so that what a task holds outside the heap doesn't hang on how long its texts are. A session
+    that has set the size itself keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch_dir(spark) -> str:
     """The shared folder of spark.checkpoint.dir. Where that is unset: a temporary one if driver and executors are one
     process (local master), else an error, as no machine-local folder would do."""
@@ -75,9 +87,13 @@ def partitions_for(spark, least: int = 1) -> int:
 
 
 def quiet_worker() -> None:
-    """One thread per Python worker: Spark's tasks are the parallelism. Memory freed by earlier tasks goes back to the system."""
+    """One thread per Python worker: Spark's tasks are the parallelism. Memory freed by earlier tasks goes back to the system,
+    and Arrow takes its memory from where it can go back."""
+    pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 21)  # M_MMAP_THRESHOLD, else it rises with use, and freed arrays stay
+        libc.malloc_trim(0)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 

@@ -9,8 +9,8 @@ each of its parts is such a word or a neutral one).
 First pass: length, link density and stop-word density decide each block that is left: good, bad, or open (short, or in
 between). Inside the page's article or main element the same figures are read more kindly: shorter prose is good too, and
 a block isn't bad for few stop words, nor for links unless three or more blocks of links follow each other (a list of
-links). Second pass: prose that is only too short becomes good beside a good block; another open block takes the label that
-its nearest decided neighbours on both sides agree on; where they differ, the nearer one's, good at equal distance. Neighbours are looked for on the same side of the article's border. Of
+links). Second pass: prose that is only too short becomes good, unless the nearest decided blocks on both sides are bad;
+another open block takes the label that those agree on; where they differ, the nearer one's, good at equal distance. Neighbours are looked for on the same side of the article's border. Of
 an article without a good block all is good but lists of links; elsewhere an open block without neighbours is bad. On a
 page whose article holds good text, blocks outside are bad.
 
@@ -28,7 +28,7 @@ import html as _html
 import re
 from functools import partial
 
-from arterial.llm.common import quiet_worker
+from arterial.llm.common import bound_batches, quiet_worker
 
 SHORT, LONG = 70, 140
 MOST_LINKS = 0.2
@@ -213,7 +213,7 @@ def _decided(labels: list) -> list[tuple]:
 def inherit(labels: list) -> list[bool]:
     """Second pass: prose that is near good is bad only between bad ones; then open blocks take their nearest decided
     neighbours' label, the nearer one's where they differ, good at equal distance. Without any they are bad."""
-    labels = [any(n and n[1] for n in near) if x == NEAR else x for x, near in zip(labels, _decided(labels), strict=True)]
+    labels = [not all(n and not n[1] for n in near) if x == NEAR else x for x, near in zip(labels, _decided(labels), strict=True)]
     out = []
     for k, (x, near) in enumerate(zip(labels, _decided(labels), strict=True)):
         if x is None:
@@ -258,6 +258,7 @@ def _extract(batches):
 
 def extract(pages, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"):
     """One row per page with its main text."""
+    bound_batches(pages.sparkSession)
     from pyspark.sql import functions as F
 
     three = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from functools import partial
 
+from arterial.llm.common import bound_batches
 from arterial.llm.tokens import ChunkEncoder, encoder, tokenizer_path
 
 SEQUENCE_TOKENS = 2048
@@ -73,6 +74,7 @@ def _pieces(batches, tokenizer: str, end_id: int, most: int, with_ids: bool):
 def pack(docs, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID,
          most: int = SEQUENCE_TOKENS, with_ids: bool = True):
     """One row per piece; with_ids adds the ids themselves (little-endian unsigned 32-bit)."""
+    bound_batches(docs.sparkSession)
     if most < 1 or most & (most - 1):
         raise ValueError("the sequence length must be a power of two")
     from pyspark.sql import functions as F

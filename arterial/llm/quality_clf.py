@@ -21,7 +21,7 @@ from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import U64, attach, mix, quiet_worker, slices, text_bytes, text_column, word_spans
+from arterial.llm.common import U64, attach, bound_batches, mix, quiet_worker, slices, text_bytes, text_column, word_spans
 from arterial.llm.common import _BYTE, _power_tables
 
 BITS = 18
@@ -234,6 +234,7 @@ def held_out(doc_id, folds: int, fold: int):
 
 def train(docs, labels, label: str = "quality", keep=None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> tuple[np.ndarray, float]:
     """(weights, offset), fitted in one executor task."""
+    bound_batches(docs.sparkSession)
     from pyspark.sql import functions as F
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

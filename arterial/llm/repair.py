@@ -28,7 +28,7 @@ from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import new_path
+from arterial.llm.common import bound_batches, new_path
 from arterial.llm.tokens import ChunkEncoder, encoder, tokenizer_path
 
 MAGIC = b"RPR2"
@@ -280,6 +280,7 @@ def _shards(batches, tokenizer: str, end_id: int, shard_tokens: int):
 def write_shards(spark, docs, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
                  end_id: int = 1, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> None:
     """Encode docs in ascending id order and write the shards' blocks to path, one row per shard."""
+    bound_batches(spark)
     from pyspark.sql import functions as F
 
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -18,7 +18,7 @@ import re
 import zlib
 from functools import partial
 
-from arterial.llm.common import quiet_worker
+from arterial.llm.common import bound_batches, quiet_worker
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "checked_token", "slack_token", "google_key", "live_key", "signed_token", "private_key")
@@ -113,6 +113,7 @@ def _scan(batches):
 
 def scan(docs, id_col: str = "doc_id", text_col: str = "text"):
     """One row per document with its counts and spans."""
+    bound_batches(docs.sparkSession)
     from pyspark.sql import functions as F
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_scan, SCHEMA)
@@ -152,4 +153,5 @@ def _redact(batches, text_col: str, length_col: str | None):
 
 def redact(docs, text_col: str = "text", length_col: str | None = "n_chars"):
     """docs with the secrets in text_col replaced by marks, and length_col (if there) brought up to date."""
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(partial(_redact, text_col=text_col, length_col=length_col), docs.schema)

@@ -18,6 +18,7 @@ from functools import partial
 
 import numpy as np
 
+from arterial.llm.common import bound_batches
 from arterial.llm.tokens import OffsetEncoder, encoder, tokenizer_path
 
 SCHEMA = "doc_id long, section int, name string, char_start long, char_end long, n_tokens long, n_crossing long, doc_tokens long"
@@ -80,6 +81,7 @@ def _counts(batches, tokenizer: str, rule: str, fields: tuple[str, ...]):
 
 def count_tokens(docs, id_col: str = "doc_id", text_col: str = "text", fields: tuple[str, ...] = (), rule: str = "most", tokenizer: str | None = None):
     """One row per section with the tokens allotted to it. fields: columns laid end to end in place of text_col's lines."""
+    bound_batches(docs.sparkSession)
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     from pyspark.sql import functions as F

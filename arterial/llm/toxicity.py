@@ -24,7 +24,7 @@ from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import U64, attach, mix, quiet_worker, slices, text_bytes, text_column, word_spans
+from arterial.llm.common import U64, attach, bound_batches, mix, quiet_worker, slices, text_bytes, text_column, word_spans
 from arterial.llm.common import _BYTE, _power_tables
 from arterial.llm.quality_clf import held_out, joined, labelled_sample, shuffled, within
 
@@ -347,6 +347,7 @@ def _fit(batches, fit_bytes: int):
 
 def train(docs, labels, label: str = "toxic", keep=None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
     """The model, fitted in one executor task."""
+    bound_batches(docs.sparkSession)
     from pyspark.sql import functions as F
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
