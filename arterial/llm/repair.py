@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by id and encoded; each partition is cut into shards of about SHARD_TOKENS ids. In a shard
 the most frequent pairs of adjacent symbols are replaced by new symbols (nonterminals), again and again, until no pair
-occurs twice without overlap. A round takes all pairs with at least half the count of the most frequent one, or half the
+occurs twice without overlap. A round takes all pairs with at least a quarter of the most frequent one's count, or of the
 count that the round before asked for; where two of them overlap, the more frequent one is replaced, of equally frequent ones that of the greater hash (Re-Pair's order, in
 batches). No pair is left out for being rare, and the number of rules is not bounded.
 
@@ -28,7 +28,7 @@ from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import bound_batches, new_path
+from arterial.llm.common import bound_batches, new_path, quiet_worker
 from arterial.llm.tokens import ChunkEncoder, encoder, tokenizer_path
 
 MAGIC = b"RPR2"
@@ -39,62 +39,78 @@ SAMPLE = 256
 SHARD_SCHEMA = "part int, shard int, first_token long, n_docs long, n_tokens long, block binary"
 
 
-def _grouped(seq: np.ndarray):
-    """(places by pair, in ascending order within each; first place of each group; last place + 1) of all adjacent pairs."""
-    n = len(seq) - 1
-    wide, deep = int(seq.max()).bit_length(), max(1, n - 1).bit_length()
+def _grouped(left: np.ndarray, right: np.ndarray, place: np.ndarray):
+    """(places by pair, in ascending order within each; first place of each group; last place + 1) of adjacent symbols."""
+    wide, deep = max(int(left.max()), int(right.max())).bit_length(), max(1, int(place[-1]).bit_length())
     if 2 * wide + deep <= 64:  # pair and place in one number: one sort gives both
-        key = seq[:-1].astype(np.uint64) << np.uint64(wide) | seq[1:]
-        key = np.sort(key << np.uint64(deep) | np.arange(n, dtype=np.uint64))
-        at, key = (key & np.uint64((1 << deep) - 1)).astype(np.int64), key >> np.uint64(deep)
+        key = left.astype(np.uint64)
+        key <<= np.uint64(wide)
+        key |= right
+        key <<= np.uint64(deep)
+        key |= place.view(np.uint64)
+        key.sort()
+        at = (key & np.uint64((1 << deep) - 1)).view(np.int64)
+        key >>= np.uint64(deep)
     else:
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        at = np.argsort(key, kind="stable")
-        key = key[at]
+        key = left.astype(np.uint64) << np.uint64(32) | right
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], place[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return at, first, np.append(first[1:], n)
+    return at, first, np.append(first[1:], len(at))
 
 
 def repair(ids: np.ndarray, base: int):
-    """(symbols, rules, rules by round): rule k stands for the pair of symbol base + k. Symbols are unsigned 32-bit."""
-    seq = ids.astype(np.uint32)
+    """(symbols, rules, rules by round): rule k stands for the pair of symbol base + k. Symbols are unsigned 32-bit.
+
+    Symbols stay at their places and are linked; a round looks only at places whose pair occurs twice or is new. A pair
+    that occurs once never comes to occur again: every later pair holds a new symbol.
+    """
+    n = len(ids)
+    seq = np.append(ids, [0]).astype(np.uint32)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n ends the sequence
+    look = np.ones(n + 1, bool)
+    look[max(n - 1, 0) :] = False
+    claim = np.zeros(n + 2, np.int32)  # rank of the pair at a place, while a round lasts; the last two are no places
     rules: list[np.ndarray] = []
-    made = 0
-    spoilt = False  # whether the last round left pairs for which nothing could be replaced
-    least = 1 << 32
-    while len(seq) > 2:
-        at, first, end = _grouped(seq)
+    made, least = 0, 1 << 32
+    spoilt = False  # whether the last round found pairs of which none could be replaced twice
+    while True:
+        place = np.flatnonzero(look)
+        if len(place) < 2:
+            break
+        at, first, end = _grouped(seq[place], seq[after[place]], place)
         count = end - first
         top = int(count.max())
         if top < 2:
             break
-        # after a round without gain only exact counts help: those of pairs of one symbol, which overlap themselves
-        least = 2 if spoilt else max(2, min(top, least) // 2)
+        once = count < 2
+        look[at[first[once]]] = False
+        least = 2 if spoilt else max(2, min(top, least) // 4)
         chosen = np.flatnonzero(count >= least)
         size = count[chosen]
-        offset = np.cumsum(size) - size
-        index = np.arange(int(size.sum())) + np.repeat(first[chosen] - offset, size)
-        place, group = at[index], np.repeat(np.arange(len(chosen)), size)
+        place = at[np.repeat(count >= least, count)]
+        group = np.repeat(np.arange(len(chosen)), size)
         # of x x x every second pair counts, from the left
-        twin = seq[place] == seq[place + 1]
-        if twin.any():
+        twin = np.flatnonzero(seq[place] == seq[after[place]])
+        if len(twin):
             p, g = place[twin], group[twin]
-            fresh = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (g[1:] != g[:-1])))
+            fresh = np.concatenate(([True], (p[1:] != after[p[:-1]]) | (g[1:] != g[:-1])))
             begin = np.maximum.accumulate(np.where(fresh, np.arange(len(p)), 0))
             keep = np.ones(len(place), bool)
-            keep[np.flatnonzero(twin)[(np.arange(len(p)) - begin) % 2 == 1]] = False
+            keep[twin[(np.arange(len(p)) - begin) % 2 == 1]] = False
             place, group = place[keep], group[keep]
             size = np.bincount(group, minlength=len(chosen))
         # the more frequent pair goes first; by a hash, a run of equally frequent ones is cut in many places at once
         start = at[first[chosen]]
-        mixed = (seq[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seq[start + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
+        pair = np.stack((seq[start], seq[after[start]]), 1)
+        mixed = (pair[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ pair[:, 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
         rank = np.empty(len(chosen), np.int32)
         rank[np.lexsort((mixed, size))] = np.arange(1, len(chosen) + 1)
         rank[size < 2] = 0
-        claim = np.zeros(len(seq) + 1, np.int32)  # claim[k + 1]: rank of the pair at place k
-        claim[place + 1] = rank[group]
-        mine = claim[place + 1]
-        take = (mine > 0) & (mine >= claim[place]) & (mine >= claim[place + 2])
+        mine = rank[group]
+        claim[place] = mine
+        take = (mine > 0) & (mine >= claim[before[place]]) & (mine >= claim[after[place]])
+        claim[place] = 0
         place, group = place[take], group[take]
         uses = np.bincount(group, minlength=len(chosen))
         good = uses[group] >= 2
@@ -108,14 +124,22 @@ def repair(ids: np.ndarray, base: int):
         used = np.flatnonzero(uses >= 2)
         number = np.zeros(len(chosen), np.uint32)
         number[used] = np.arange(base + made, base + made + len(used), dtype=np.uint32)
-        rules.append(np.stack((seq[start[used]], seq[start[used] + 1]), 1))
+        rules.append(pair[used])
         made += len(used)
         seq[place] = number[group]
-        left = np.ones(len(seq), bool)
-        left[place + 1] = False
-        seq = seq[left]
+        gone = after[place]
+        look[gone] = False
+        rest = after[gone]
+        after[place], before[rest] = rest, place
+        # a place before a replaced one may have gone itself, where two replaced pairs touch
+        near = before[place]
+        look[near[near >= 0]] = True
+        look[place] = True
+        look[place[rest >= n]] = False
+        after[gone] = -2
+    alive = after[:n] >= 0
     rounds = np.array([len(r) for r in rules], np.int64)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), rounds
+    return seq[:n][alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), rounds
 
 
 def expansion_lengths(rules: np.ndarray, base: int, rounds: np.ndarray) -> np.ndarray:
@@ -245,6 +269,7 @@ def _shards(batches, tokenizer: str, end_id: int, shard_tokens: int):
     from pyspark import TaskContext
 
     codec = encoder(ChunkEncoder, tokenizer)
+    quiet_worker(1 << 25)  # a shard's arrays are of one size, round by round: their pages are used again
     base = codec.tokenizer.get_vocab_size(with_added_tokens=True)
     part, shard, before = TaskContext.get().partitionId(), 0, 0
     end = end_id.to_bytes(4, "little")
