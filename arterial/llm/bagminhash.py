@@ -33,7 +33,7 @@ from functools import partial
 
 import numpy as np
 
-from arterial.llm.common import U64, attach, bound_batches, discard, materialize, mix, partitions_for, quiet_worker, slices, text_bytes, text_column, word_hashes
+from arterial.llm.common import U64, attach, bound_batches, broadcast_if_small, discard, materialize, mix, partitions_for, quiet_worker, slices, text_bytes, text_column, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -344,7 +344,8 @@ def _classes(spark, docs, id_col: str, text_col: str, least: float):
     members = materialize(spark, rows.join(buckets, "bucket").select("bucket", "band", "hub", "node").dropDuplicates(["bucket", "node"]), "members")
     # one text, and one signature, per node in any bucket
     some = materialize(spark, copies.join(members.select("node").distinct(), "node", "left_semi"), "some")
-    texts = three.join(some.select("doc_id", "h", "node"), ["doc_id", "h"]).select("node", "text").dropDuplicates(["node"])
+    wanted = broadcast_if_small(some.select("doc_id", "h", "node"))
+    texts = three.join(wanted, ["doc_id", "h"]).select("node", "text").dropDuplicates(["node"])
     texts = materialize(spark, texts, "texts")
     registers = reps.join(some.select("node"), "node", "left_semi").select("node", "size", "registers", "bins").dropDuplicates(["node"])
 

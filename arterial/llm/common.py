@@ -27,6 +27,17 @@ def bound_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: What a broadcast table may hold; larger ones are joined by sort-merge.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df, row_bytes: int = 64):
+    """df, marked for broadcasting if its rows (of a table of materialize(), so counting is cheap) fit BROADCAST_BYTES."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def scratch_dir(spark) -> str:
     """The shared folder of spark.checkpoint.dir. Where that is unset: a temporary one if driver and executors are one
     process (local master), else an error, as no machine-local folder would do."""
@@ -86,13 +97,14 @@ def partitions_for(spark, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def quiet_worker() -> None:
+def quiet_worker(keep: int = 1 << 21) -> None:
     """One thread per Python worker: Spark's tasks are the parallelism. Memory freed by earlier tasks goes back to the system,
-    and Arrow takes its memory from where it can go back."""
+    and so do arrays of more than `keep` bytes as soon as they are freed; Arrow takes its memory from where it can go back."""
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 21)  # M_MMAP_THRESHOLD, else it rises with use, and freed arrays stay
+        libc.mallopt(-3, keep)  # M_MMAP_THRESHOLD, else it rises with use
+        libc.mallopt(-1, 2 * keep)  # M_TRIM_THRESHOLD
         libc.malloc_trim(0)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
