@@ -9,6 +9,11 @@ def stem(path) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def plain_path(path) -> Column:
+    """A path as it is compared: without the scheme of local files, whose slashes readers write differently."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def chip_id(name) -> Column:
     """The last '_' token ('-' counts as '_') that starts with a digit, chip or img; else the whole stem."""
     tokens = F.reverse(F.split(F.translate(stem(name), "-", "_"), "_"))

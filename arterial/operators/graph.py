@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 
 from arterial.operators import kernels as K
 
-CHUNK = 64  # sources a kernel call takes
+CHUNK = 64  # sources a slice of a graph has at least, where the graph is cut at all
+MOST_NODES = 2_000_000  # nodes and edges of one graph that a worker is given; beyond them kernels refuse it
+LARGE = 200_000  # nodes from which components() goes by relational rounds, where the caller knows of such graphs
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,10 +22,15 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pack(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per graph: its node ids, and its edges as structs."""
-    n = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
-    e = edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", F.col("length").cast("double").alias("length")))).alias("edges"))
-    return n.join(e, "graph_id", "left")
+    """One row per graph: its node ids, and its edges as structs. A graph of more than MOST_NODES nodes or edges is an error,
+    not a lost executor."""
+    def bounded(column, n, what):
+        return F.when(n <= MOST_NODES, column).otherwise(F.raise_error(F.concat(F.lit(f"more than {MOST_NODES} {what} in graph "), F.col("graph_id"))))
+
+    n = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"), F.count("*").alias("n"))
+    e = edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", F.col("length").cast("double").alias("length")))).alias("edges"), F.count("*").alias("m"))
+    both = n.join(e, "graph_id", "left")
+    return both.select("graph_id", bounded(F.col("nodes"), F.col("n"), "nodes").alias("nodes"), F.when(F.col("m").isNotNull(), bounded(F.col("edges"), F.col("m"), "edges")).alias("edges"))
 
 
 def _triples(row):
@@ -38,9 +45,17 @@ def _labels(batches):
         yield pd.DataFrame(out, columns=["graph_id", "node_id", "component"])
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Component of each node: its least node_id. A graph fits a worker; components_of_large() is for those that don't."""
+def has_large(nodes: DataFrame, most: int = LARGE) -> bool:
+    """Whether any graph has more than `most` nodes: one count per graph, run when called."""
+    return (nodes.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0) > most
+
+
+def components(nodes: DataFrame, edges: DataFrame, large: bool = False) -> DataFrame:
+    """Component of each node: its least node_id. One kernel call per graph, which fits a worker; large: by relational
+    rounds, for graphs of any size (ask has_large() where sizes aren't known)."""
     kinds = dict(nodes.dtypes)
+    if large:
+        return components_of_large(nodes, edges)
     return pack(nodes, edges).mapInPandas(_labels, f"graph_id {kinds['graph_id']}, node_id long, component long")
 
 
@@ -86,27 +101,37 @@ def ablate(nodes: DataFrame, edges: DataFrame, hit: DataFrame):
 # ------------------------------------------------------------------------------------------------------ spatial joins
 
 
-def _cells(points: DataFrame, size: float, spread: bool):
+def _cells(points: DataFrame, size: float, spread: str = ""):
+    """points with the cell (cx, cy) they lie in; spread: one row for each cell they look into instead, all nine around
+    ("all") or the half ahead with their own ("ahead")."""
     cx, cy = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
     if not spread:
         return points.withColumn("cx", cx).withColumn("cy", cy)
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    wide = points.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-    return wide.withColumn("cx", cx + F.col("dx")).withColumn("cy", cy + F.col("dy")).drop("dx", "dy")
+    steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)] if spread == "ahead" else [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    wide = points.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
+    return wide.withColumn("own", (F.col("o.i") == 0) & (F.col("o.j") == 0)).withColumn("cx", cx + F.col("o.i")).withColumn("cy", cy + F.col("o.j")).drop("o")
+
+
+SALTS = 8  # parts that one side of a dense cell is cut into
 
 
-def pairs_within(points: DataFrame, radius: float, key: str = "graph_id") -> DataFrame:
-    """(key, a, b, d2) of points of one key at most radius apart, a < b: an equi-join on grid cells, then the exact test."""
-    a = _cells(points.select(key, F.col("node_id").alias("a"), "x", "y"), radius, True).withColumnsRenamed({"x": "ax", "y": "ay"})
-    b = _cells(points.select(key, F.col("node_id").alias("b"), "x", "y"), radius, False).withColumnsRenamed({"x": "bx", "y": "by"})
+def pairs_within(points: DataFrame, radius: float, key: str = "graph_id", salts: int = 1) -> DataFrame:
+    """(key, a, b, d2) of points of one key at most radius apart, a < b: an equi-join on grid cells, then the exact test.
+
+    Each pair of cells meets once: a point looks into its own cell and the half of its neighbours ahead. salts: parts that
+    a cell's points are cut into on one side (and repeated on the other), for tables with very dense cells (SALTS)."""
+    part = F.pmod(F.xxhash64("node_id"), F.lit(salts)).cast("int")
+    a = _cells(points.select(key, "node_id", "x", "y", part.alias("s")), radius, "ahead").select(key, "cx", "cy", "s", "own", F.col("node_id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = _cells(points.select(key, "node_id", "x", "y"), radius).select(key, "cx", "cy", F.col("node_id").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
     d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
-    return a.join(b, [key, "cx", "cy"]).where(F.col("a") < F.col("b")).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(key, "a", "b", "d2")
+    near = a.join(b, [key, "cx", "cy", "s"]).where(~F.col("own") | (F.col("u") < F.col("v"))).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    return near.where("u <> v").select(key, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "d2")
 
 
 def nearest(left: DataFrame, right: DataFrame, reach: float, key: str = "graph_id") -> DataFrame:
     """(key, a, b, d2): each left point's nearest right point within reach, ties to the smaller id; b is null if none."""
-    a = _cells(left.select(key, F.col("node_id").alias("a"), "x", "y"), reach, True).withColumnsRenamed({"x": "ax", "y": "ay"})
-    b = _cells(right.select(key, F.col("node_id").alias("b"), "x", "y"), reach, False).withColumnsRenamed({"x": "bx", "y": "by"})
+    a = _cells(left.select(key, F.col("node_id").alias("a"), "x", "y"), reach, "all").withColumnsRenamed({"x": "ax", "y": "ay"})
+    b = _cells(right.select(key, F.col("node_id").alias("b"), "x", "y"), reach).withColumnsRenamed({"x": "bx", "y": "by"})
     d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
     near = a.join(b, [key, "cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
     best = near.groupBy(key, "a").agg(F.min(F.struct("d2", "b")).alias("m")).select(key, "a", F.col("m.b").alias("b"), F.col("m.d2").alias("d2"))
@@ -160,13 +185,18 @@ def heal_summary(nodes: DataFrame, edges: DataFrame, bridges: DataFrame) -> Data
 
 
 def _sources(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None) -> DataFrame:
-    """Packed graphs times chunks of their sources: the rows that kernels take."""
-    chosen = nodes if sources is None else sources
-    w = Window.partitionBy("graph_id").orderBy("node_id")
-    ranked = chosen.select("graph_id", "node_id").withColumn("chunk", F.floor((F.row_number().over(w) - 1) / CHUNK))
-    chunks = ranked.groupBy("graph_id", "chunk").agg(F.collect_list("node_id").alias("sources"))
-    rows = chunks.join(pack(nodes, edges), "graph_id")
-    return rows.repartition("graph_id", "chunk")
+    """Packed graphs with the sources that a kernel call takes. A graph of many sources is cut into slices of them, never
+    more than there are shuffle partitions: so often, not once for each CHUNK sources, its packed form is sent."""
+    packed = pack(nodes, edges)
+    if sources is None:
+        packed = packed.withColumn("all", F.col("nodes"))
+    else:
+        packed = packed.join(sources.groupBy("graph_id").agg(F.array_sort(F.collect_set("node_id")).alias("all")), "graph_id")
+    most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = F.least(F.ceil(F.size("all") / CHUNK), F.lit(most)).cast("int")
+    cut = packed.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))))
+    own = F.filter("all", lambda x, i: F.pmod(i, F.greatest(F.col("n"), F.lit(1))) == F.col("k"))
+    return cut.repartition("graph_id", "k").select("graph_id", "nodes", "edges", own.alias("sources"))
 
 
 def _distances(batches):
@@ -274,21 +304,37 @@ def _routes(batches):
         out = []
         for r in pdf.itertuples():
             adj = K.adjacency(_triples(r), r.nodes)
-            b, p = K.path(adj, r.source, r.target)
-            a, q = K.path(K.without(adj, r.gone if r.gone is not None else []), r.source, r.target)
-            ratio = None if b in (0.0, K.INF) else (K.INF if a == K.INF else a / b)
-            out.append((r.graph_id, r.source, r.target, b, a, ratio, p, q))
+            left = K.without(adj, r.gone if r.gone is not None else [])
+            for t in r.trips:
+                b, p = K.path(adj, t["source"], t["target"])
+                a, q = K.path(left, t["source"], t["target"])
+                out.append((r.graph_id, t["source"], t["target"], b, a, None if b in (0.0, K.INF) else (K.INF if a == K.INF else a / b), p, q))
         yield pd.DataFrame(out, columns=["graph_id", "source", "target", "before", "after", "ratio", "path_before", "path_after"])
 
 
 def reroute(nodes: DataFrame, edges: DataFrame, trips: DataFrame, hit: DataFrame) -> DataFrame:
-    """Shortest path of each (graph_id, source, target) before and after the loss of hit nodes; inf and null if cut off."""
-    gone = hit.groupBy("graph_id").agg(F.collect_set("node_id").alias("gone"))
+    """Shortest path of each (graph_id, source, target) before and after the loss of hit nodes; inf and null if cut off.
+
+    A graph is sent once for each slice of its trips, and its adjacency is built once there."""
+    gone = hit.groupBy("graph_id").agg(F.array_sort(F.collect_set("node_id")).alias("gone"))
     kind = dict(nodes.dtypes)["graph_id"]
-    rows = trips.join(pack(nodes, edges), "graph_id").join(gone, "graph_id", "left")
+    most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = trips.groupBy("graph_id", F.pmod(F.xxhash64("source", "target"), F.lit(most)).alias("k")).agg(F.collect_list(F.struct("source", "target")).alias("trips"))
+    rows = slices.join(pack(nodes, edges), "graph_id").join(gone, "graph_id", "left").repartition("graph_id", "k")
     return rows.mapInPandas(_routes, f"graph_id {kind}, source long, target long, before double, after double, ratio double, path_before array<long>, path_after array<long>")
 
 
+def route_places(routes: DataFrame, nodes: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """routes with paths as arrays of places (x, y), in order; columns of nodes such as lon, lat serve as well."""
+    at = nodes.select("graph_id", "node_id", F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("place"))
+    out = routes
+    for side in ("before", "after"):
+        steps = out.select("graph_id", "source", "target", F.posexplode(f"path_{side}").alias("i", "node_id")).join(at, ["graph_id", "node_id"])
+        lines = steps.groupBy("graph_id", "source", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "place"))), lambda s: s["place"]).alias(f"places_{side}"))
+        out = out.join(lines, ["graph_id", "source", "target"], "left")
+    return out
+
+
 def _attacks(batches, k: int):
     import pandas as pd
 
@@ -333,23 +379,26 @@ def damage(nodes: DataFrame, edges: DataFrame, gap: float, k: int, seed: int = 4
     return nodes.join(used, ["graph_id", "node_id"], "left_semi"), left
 
 
-def _apls(batches, snap, resolution, most):
-    import pandas as pd
-
-    def side(nodes, edges):
-        xy = {n["node_id"]: (n["x"], n["y"]) for n in (nodes if nodes is not None else [])}
-        return K.adjacency([(e["src"], e["dst"], e["length"]) for e in (edges if edges is not None else [])], xy), xy
-
-    for pdf in batches:
-        yield pd.DataFrame([(r.graph_id, K.apls(*side(r.n_a, r.e_a), *side(r.n_b, r.e_b), snap, resolution, most)) for r in pdf.itertuples()], columns=["graph_id", "apls"])
-
-
-def apls(a, b, snap: float | None = None, resolution: float = 1.0, most: int = 200) -> DataFrame:
-    """Average path length similarity of graphs a = (nodes, edges) and b with equal graph_id."""
-    def side(g, s):
-        n = g[0].groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "x", "y")).alias(f"n_{s}"))
-        e = g[1].groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", F.col("length").cast("double").alias("length"))).alias(f"e_{s}"))
-        return n.join(e, "graph_id", "left")
-
-    rows = side(a, "a").join(side(b, "b"), "graph_id", "full_outer")
-    return rows.mapInPandas(partial(_apls, snap=snap, resolution=resolution, most=most), f"graph_id {dict(a[0].dtypes)['graph_id']}, apls double")
+def half_apls(a, b, snap: float, most: int) -> DataFrame:
+    """(graph_id, total, n): agreement of path lengths from up to `most` evenly spaced nodes of each graph of a with those
+    between their nearest nodes of b; a pair that b lacks counts 0."""
+    match = nearest(a[0], b[0], snap)
+    start = spaced_sources(a[0].select("graph_id", "node_id"), most)
+    paths = shortest_distances(*a, start).where("distance > 0").select("graph_id", F.col("source").alias("s"), F.col("target").alias("t"), F.col("distance").alias("d"))
+    at = lambda end, name: match.select("graph_id", F.col("a").alias(end), F.col("b").alias(name))
+    asked = paths.join(at("s", "source"), ["graph_id", "s"]).join(at("t", "target"), ["graph_id", "t"])
+    begins = match.join(start.select("graph_id", F.col("node_id").alias("a")), ["graph_id", "a"], "left_semi").where("b is not null").select("graph_id", F.col("b").alias("node_id")).distinct()
+    other = shortest_distances(*b, begins).withColumnRenamed("distance", "e")
+    score = F.when(F.col("e").isNull(), 0.0).otherwise(1 - F.least(F.lit(1.0), F.abs(F.col("d") - F.col("e")) / F.col("d")))
+    return asked.join(other, ["graph_id", "source", "target"], "left").groupBy("graph_id").agg(F.sum(score).alias("total"), F.count("*").alias("n"))
+
+
+def apls(a, b, snap: float | None = None, resolution: float = 0.5, most: int = 50) -> DataFrame:
+    """Average path length similarity of graphs a = (nodes, edges) and b with equal graph_id: 0 where one has no nodes."""
+    snap = max(4.0, 8 * resolution) if snap is None else snap
+    ids = a[0].select("graph_id").unionByName(b[0].select("graph_id")).distinct()
+    out = ids
+    for name, one, two in (("ab", a, b), ("ba", b, a)):
+        half = half_apls(one, two, snap, most).select("graph_id", (F.col("total") / F.col("n")).alias(name))
+        out = out.join(half, "graph_id", "left")
+    return out.select("graph_id", ((F.coalesce("ab", F.lit(0.0)) + F.coalesce("ba", F.lit(0.0))) / 2).alias("apls"))

@@ -328,38 +328,46 @@ def mask_graph(mask: np.ndarray, transform=None, resolution: float = 1.0, simpli
     return adj, xy
 
 
-def half_apls(adj_a, xy_a, adj_b, xy_b, snap: float, most: int) -> float:
-    """Mean agreement of path lengths from up to `most` evenly spaced nodes of A with those of their matches in B."""
-    a_ids, b_ids = sorted(xy_a), sorted(xy_b)
-    if not a_ids or not b_ids:
-        return 0.0
-    a_xy, b_xy = np.array([xy_a[i] for i in a_ids]), np.array([xy_b[i] for i in b_ids])
-    match = {}
-    for i, p in zip(a_ids, a_xy, strict=True):
-        d = np.hypot(*(b_xy - p).T)
-        k = int(d.argmin())
-        match[i] = b_ids[k] if d[k] <= snap else None
-    n = len(a_ids)
-    picks = range(n) if n <= most else sorted({int(i * (n - 1) / (most - 1)) for i in range(most)})
-    scores = []
-    for k in picks:
-        s = a_ids[k]
-        far = distances(adj_b, match[s]) if match[s] is not None else {}
-        for t, d in distances(adj_a, s).items():
-            if d <= 0:
-                continue
-            other = far.get(match[t]) if match[t] is not None else None
-            scores.append(0.0 if other is None else 1 - min(1.0, abs(d - other) / d))
-    return float(np.mean(scores)) if scores else 0.0
+def near_pairs(xy: dict, gap: float):
+    """(d2, a, b), a < b, of places at most `gap` apart, by cells of that size and the half of their neighbours ahead."""
+    grid = defaultdict(list)
+    for u in sorted(xy):
+        grid[int(np.floor(xy[u][0] / gap)), int(np.floor(xy[u][1] / gap))].append(u)
+    for (i, j), here in grid.items():
+        for k, u in enumerate(here):
+            ahead = [*here[k + 1 :], *(v for o in ((0, 1), (1, -1), (1, 0), (1, 1)) for v in grid.get((i + o[0], j + o[1]), ()))]
+            for v in ahead:
+                d2 = (xy[u][0] - xy[v][0]) ** 2 + (xy[u][1] - xy[v][1]) ** 2
+                if d2 <= gap * gap:
+                    yield d2, min(u, v), max(u, v)
+
+
+def heal(adj: dict, xy: dict, gap: float, endpoints_only: bool = True) -> list:
+    """Bridges (length, a, b) between components, as heal() of the graph operators makes them."""
+    component = labels(adj, [(u, v) for u in adj for v in adj[u]])
+    degree = {u: len(adj[u]) + (u in adj[u]) for u in adj}
+    found = [(d, a, b) for d, a, b in near_pairs(xy, gap) if component[a] != component[b] and (not endpoints_only or degree[a] == 1 or degree[b] == 1)]
+    return [(d**0.5, a, b) for d, a, b in spanning(found, component)]
+
+
+def with_edges(adj: dict, edges) -> dict:
+    out = {u: dict(row) for u, row in adj.items()}
+    for w, a, b in edges:
+        out[a][b] = out[b][a] = min(w, out[a].get(b, INF))
+    return out
 
 
-def apls(adj_a, xy_a, adj_b, xy_b, snap: float | None = None, resolution: float = 1.0, most: int = 200) -> float:
-    if not xy_a and not xy_b:
-        return 1.0
-    if not xy_a or not xy_b:
-        return 0.0
-    snap = max(4.0, 8 * resolution) if snap is None else snap
-    return (half_apls(adj_a, xy_a, adj_b, xy_b, snap, most) + half_apls(adj_b, xy_b, adj_a, xy_a, snap, most)) / 2
+def report(adj: dict, hit, before: list | None = None, after: list | None = None) -> dict:
+    """What the loss of hit nodes does: efficiency on one universe, components and largest component of what is left."""
+    hit = set(hit) & set(adj)
+    left = without(adj, hit)
+    e0, e1 = efficiency(adj, None, before), efficiency(left, len(adj), after)
+    sizes = defaultdict(int)
+    for root in labels(left, [(u, v) for u in left for v in left[u]]).values():
+        sizes[root] += 1
+    ri = e1 / e0 if e0 > 0 else 0.0
+    return {"n_nodes": len(adj), "n_impacted": len(hit), "efficiency_before": e0, "efficiency_after": e1, "components_after": len(sizes),
+            "lcc_after": max(sizes.values()) / len(left) if left else 0.0, "resilience_index": ri, "efficiency_drop": 1 - ri}
 
 
 def soft_skeleton(img: np.ndarray, rounds: int = 10) -> np.ndarray:

@@ -153,6 +153,15 @@ def soft_cldice(truth: DataFrame, pred: DataFrame, rounds: int = 3, smooth: floa
     return s.withColumn("loss", 1 - 2 * F.col("tprec") * F.col("tsens") / (F.col("tprec") + F.col("tsens")))
 
 
+def dice_cldice(truth: DataFrame, pred: DataFrame, alpha: float = 0.5, rounds: int = 3, smooth: float = 1.0) -> DataFrame:
+    """Value of the mixed loss by tile: (1 - alpha) soft Dice + alpha soft clDice."""
+    key = ["tile_id", "row", "col"]
+    t, p = truth.withColumnRenamed("v", "t"), pred.withColumnRenamed("v", "p")
+    dice = t.join(p, key).groupBy("tile_id").agg((1 - (2 * F.sum(F.col("t") * F.col("p")) + smooth) / (F.sum("t") + F.sum("p") + smooth)).alias("dice_loss"))
+    both = dice.join(soft_cldice(truth, pred, rounds, smooth).select("tile_id", F.col("loss").alias("cldice_loss")), "tile_id")
+    return both.withColumn("loss", (1 - alpha) * F.col("dice_loss") + alpha * F.col("cldice_loss"))
+
+
 def dice_focal(pixels: DataFrame, dice_w: float = 0.5, focal_w: float = 0.5, gamma: float = 2.0) -> DataFrame:
     """Value of the Dice and focal loss over pixels (tile_id, t, p)."""
     t, p = F.col("t").cast("double"), F.least(F.greatest(F.col("p"), F.lit(EPS)), F.lit(1 - EPS))
@@ -161,9 +170,35 @@ def dice_focal(pixels: DataFrame, dice_w: float = 0.5, focal_w: float = 0.5, gam
     return pixels.groupBy("tile_id").agg(dice.alias("dice_loss"), focal.alias("focal_loss")).withColumn("loss", dice_w * F.col("dice_loss") + focal_w * F.col("focal_loss"))
 
 
+def percentiles(values: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """keys and q, the exact percentiles (linear between neighbours) of each key's v.
+
+    Values are counted first; ranges of 1/256 of a key's span, with their counts, tell which hold the wanted ranks, and only
+    values of those ranges are ordered. No task holds a whole key."""
+    counts = values.where("v is not null and not isnan(v)").groupBy(*keys, F.col("v").cast("double").alias("v")).agg(F.count("*").alias("c"))
+    span = counts.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("c").alias("_n"))
+    bins = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 256), F.lit(255))).otherwise(0)
+    binned = counts.join(span, keys).withColumn("_b", bins)
+    w = Window.partitionBy(*keys).orderBy("_b")
+    ranges = binned.groupBy(*keys, "_b").agg(F.sum("c").alias("_m")).withColumn("_before", F.sum("_m").over(w) - F.col("_m"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(shares)]))
+    place = F.col("r.p") * (F.col("_n") - 1)
+    asked = span.withColumn("r", ranks).select(*keys, F.col("r.i").alias("_i"), F.floor(place).alias("_k"), (place - F.floor(place)).alias("_f"))
+    # ranges that hold rank k or k + 1
+    held = ranges.join(asked, keys).where("_before <= _k + 1 and _before + _m > _k")
+    within = binned.join(held.select(*keys, "_b", "_i", "_k", "_f", "_before"), [*keys, "_b"])
+    upto = F.sum("c").over(Window.partitionBy(*keys, "_i", "_b").orderBy("v")) + F.col("_before")
+    near = within.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("c"))
+    low = F.max(F.when((F.col("_from") <= F.col("_k")) & (F.col("_to") > F.col("_k")), F.col("v")))
+    high = F.max(F.when((F.col("_from") <= F.col("_k") + 1) & (F.col("_to") > F.col("_k") + 1), F.col("v")))
+    one = near.groupBy(*keys, "_i").agg(low.alias("a"), high.alias("b"), F.first("_f").alias("f"))
+    q = F.col("a") + F.when(F.col("f") > 0, F.col("f") * (F.col("b") - F.col("a"))).otherwise(0.0)
+    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", q.alias("q")))), lambda s: s["q"]).alias("q"))
+
+
 def stretch(values: DataFrame, keys: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """v of each key's band stretched to 0..255 between exact percentiles; a flat band spans one unit."""
-    limits = values.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
+    limits = percentiles(values, keys, [low, high])
     limits = limits.select(*keys, F.col("q")[0].alias("lo"), F.when(F.col("q")[1] <= F.col("q")[0], F.col("q")[0] + 1).otherwise(F.col("q")[1]).alias("hi"))
     u = F.least(F.greatest((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255, F.lit(0.0)), F.lit(255.0)).cast("int")
     return values.join(limits, keys).withColumn("u8", u)
@@ -241,3 +276,14 @@ def mask_to_graph(cells: DataFrame, width: int, transform=None, resolution: floa
     both = cells.select("tile_id", "row", "col", F.lit(width).alias("width")).groupBy("tile_id").applyInPandas(run, "graph_id string, kind string, a long, b long, x double, y double, length double")
     nodes = both.where("kind = 'n'").select("graph_id", F.col("a").alias("node_id"), "x", "y")
     return nodes, both.where("kind = 'e'").select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"), "length")
+
+
+#: Losses by name, as functions of dense truth and prediction (tile_id, row, col, v); own ones are added here.
+LOSSES = {"soft_cldice": soft_cldice, "dice_cldice": dice_cldice,
+          "dice_focal": lambda t, p, **o: dice_focal(t.withColumnRenamed("v", "t").join(p.withColumnRenamed("v", "p"), ["tile_id", "row", "col"]), **o)}
+
+
+def loss(name: str, truth: DataFrame, pred: DataFrame, **options) -> DataFrame:
+    if name not in LOSSES:
+        raise ValueError(f"unknown loss {name!r}")
+    return LOSSES[name](truth, pred, **options)

@@ -55,17 +55,21 @@ def window_bounds(df: DataFrame, tile: int) -> DataFrame:
     return df.withColumns({"west": west, "north": north, "east": west + F.col("a") * tile, "south": north + F.col("e") * tile})
 
 
-def overlapping(segments: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Tiles with the segments (xmin, ymin, xmax, ymax) that their bounds meet, by cells of the tiles' size."""
-    size = tiles.agg(F.max(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")))).first()[0] or 1.0
+def overlapping(segments: DataFrame, tiles: DataFrame, cell: float | None = None) -> DataFrame:
+    """Tiles with the segments (xmin, ymin, xmax, ymax) that their bounds meet, by cells of one size (the first tile's, if
+    not given; any size is right). A pair is reported from the one cell that holds the lower left corner of what both share."""
+    if cell is None:
+        first = tiles.select(F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south")).alias("size")).where("size > 0").first()
+        cell = first["size"] if first else 1.0
 
     def cover(a, b):
-        return F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
+        return F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
 
     s = segments.withColumn("gx", F.explode(cover("xmin", "xmax"))).withColumn("gy", F.explode(cover("ymin", "ymax")))
     t = tiles.withColumn("gx", F.explode(cover("west", "east"))).withColumn("gy", F.explode(cover("south", "north")))
     hit = t.join(s, ["gx", "gy"]).where("xmax >= west and xmin <= east and ymax >= south and ymin <= north")
-    return hit.drop("gx", "gy").dropDuplicates(["tile_id", "seg_id"])
+    corner = (F.col("gx") == F.floor(F.greatest("west", "xmin") / cell)) & (F.col("gy") == F.floor(F.greatest("south", "ymin") / cell))
+    return hit.where(corner).drop("gx", "gy")
 
 
 def _covers(pdf, buffer: float):
@@ -103,13 +107,20 @@ def valid_shapes(images: DataFrame):
 
 
 def split(manifest: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42, stratum: str = "terrain") -> DataFrame:
-    """split column by rank of a seeded hash within the stratum; counts round half to even; a null stratum gets ''."""
+    """split column by rank of a seeded hash within the stratum; counts round half to even; a null stratum gets ''.
+
+    Few strata hold all rows, so no task takes one whole: rows fall into slices of the hash's leading digits, a count per
+    slice gives each its offset (two small aggregates), and ranks are taken within slices."""
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tile_id").cast("string")))
+    rows = manifest.withColumns({"_h": mark, "_s": F.substring(mark, 1, 3)})  # 4,096 slices of a stratum
+    counts = rows.groupBy(stratum, "_s").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tile_id").cast("string"))), "tile_id"))
-    n = F.count("*").over(w)
-    a, b = F.bround(n * train), F.bround(n * val)
-    name = F.when(F.col(stratum).isNull(), "").when(F.col("_r") <= F.col("_a"), "train").when(F.col("_r") <= F.col("_a") + F.col("_b"), "val").otherwise("test")
-    return manifest.withColumns({"_r": rank, "_a": a, "_b": b}).withColumn("split", name).drop("_r", "_a", "_b")
+    offsets = counts.withColumns({"_n": F.sum("_c").over(w), "_o": F.sum("_c").over(w.orderBy("_s")) - F.col("_c")}).select(F.col(stratum).alias("_t"), F.col("_s").alias("_u"), "_n", "_o")
+    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(stratum, "_s").orderBy("_h", "tile_id")))
+    joined = ranked.join(offsets, F.col(stratum).eqNullSafe(F.col("_t")) & (F.col("_s") == F.col("_u")))
+    rank, a, b = F.col("_o") + F.col("_k"), F.bround(F.col("_n") * train), F.bround(F.col("_n") * val)
+    name = F.when(F.col(stratum).isNull(), "").when(rank <= a, "train").when(rank <= a + b, "val").otherwise("test")
+    return joined.withColumn("split", name).select(*[c for c in manifest.columns if c != "split"], "split")
 
 
 def split_summary(manifest: DataFrame) -> DataFrame:
@@ -136,7 +147,11 @@ def first_per_place(tiles: DataFrame, n: int) -> DataFrame:
     return tiles.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-def gate(manifest: DataFrame) -> DataFrame:
-    """By terrain: whether every tile has an image, and whether all three splits occur."""
+def gate(manifest: DataFrame, order: str = "tile_id") -> DataFrame:
+    """By terrain: whether every tile has an image, whether all three splits occur, and the resolution of the first tile."""
     return manifest.groupBy("terrain").agg(F.bool_and(F.coalesce(F.col("image_path"), F.lit("")) != "").alias("has_images"), (F.size(F.array_distinct(F.collect_set("split"))) >= 3).alias("all_splits"),
-                                           F.min("resolution_m").alias("resolution_m"), F.count("*").alias("n_tiles"))
+                                           F.min_by("resolution_m", order).alias("resolution_m"), F.count("*").alias("n_tiles"))
+
+
+def terrains(manifest: DataFrame) -> DataFrame:
+    return manifest.select("terrain").distinct()

@@ -70,9 +70,9 @@ def files(spark, root: str) -> DataFrame:
 
 
 def deepglobe_pairs(found: DataFrame) -> DataFrame:
-    """(pair_id, image_path, mask_path) of <id>_sat.jpg|png with <id>_mask.png; images without a mask drop out."""
-    sat = found.where(F.col("path").rlike(r"_sat\.(jpg|png)$")).select(F.regexp_replace("path", r"_sat\.(jpg|png)$", "").alias("base"), F.col("path").alias("image_path"))
-    mask = found.where(F.col("path").endswith("_mask.png")).select(F.regexp_replace("path", r"_mask\.png$", "").alias("base"), F.col("path").alias("mask_path"))
+    """(pair_id, image_path, mask_path) of <id>_sat.jpg|png with <id>_mask.png, in either case; images without a mask drop out."""
+    sat = found.where(F.col("path").rlike(r"(?i)_sat\.(jpg|png)$")).select(F.regexp_replace("path", r"(?i)_sat\.(jpg|png)$", "").alias("base"), F.col("path").alias("image_path"))
+    mask = found.where(F.col("path").rlike(r"(?i)_mask\.png$")).select(F.regexp_replace("path", r"(?i)_mask\.png$", "").alias("base"), F.col("path").alias("mask_path"))
     return sat.join(mask, "base").select(F.element_at(F.split("base", "/"), -1).alias("pair_id"), "image_path", "mask_path")
 
 
@@ -100,14 +100,55 @@ def chip_pairs(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def road_segments(spark, geojson_path: str) -> DataFrame:
-    """Segments (place, seg_id, x0, y0, x1, y1) of the line strings of GeoJSON files; files without features give none."""
-    line = "struct<type:string,coordinates:array<array<double>>>"
-    raw = spark.read.option("multiLine", True).schema(f"features array<struct<geometry:{line}>>").json(geojson_path).withColumn("place", F.col("_metadata.file_name"))
-    lines = raw.select("place", F.posexplode("features").alias("f", "feature")).where("feature.geometry.type = 'LineString'").select("place", "f", F.col("feature.geometry.coordinates").alias("p"))
+    """Segments (place, seg_id, x0, y0, x1, y1) of the line strings and multi-line strings of GeoJSON files; files without
+    features give none."""
+    # coordinates are as deep as the type says: they are read as text first
+    raw = spark.read.option("multiLine", True).schema("features array<struct<geometry:struct<type:string,coordinates:string>>>").json(geojson_path).withColumn("place", F.col("_metadata.file_name"))
+    found = raw.select("place", F.posexplode("features").alias("f", "feature")).select("place", "f", "feature.geometry.type", "feature.geometry.coordinates")
+    one, many = F.from_json("coordinates", "array<array<double>>"), F.from_json("coordinates", "array<array<array<double>>>")
+    lines = F.when(F.col("type") == "LineString", F.array(one)).when(F.col("type") == "MultiLineString", many)
+    lines = found.withColumn("lines", lines).where("lines is not null").select("place", "f", F.posexplode("lines").alias("part", "p"))
     n = F.size("p")
-    steps = lines.where(n > 1).select("place", "f", "p", F.explode(F.sequence(F.lit(0), n - 2)).alias("k"))
+    steps = lines.where(n > 1).select("place", "f", "part", "p", F.explode(F.sequence(F.lit(0), n - 2)).alias("k"))
     at = lambda i, j: F.get(F.get(F.col("p"), i), F.lit(j))
-    return steps.select("place", F.concat_ws("_", "f", "k").alias("seg_id"), at(F.col("k"), 0).alias("x0"), at(F.col("k"), 1).alias("y0"), at(F.col("k") + 1, 0).alias("x1"), at(F.col("k") + 1, 1).alias("y1"))
+    name = F.concat_ws("_", "f", F.when(F.col("part") > 0, F.col("part")), "k")
+    return steps.select("place", name.alias("seg_id"), at(F.col("k"), 0).alias("x0"), at(F.col("k"), 1).alias("y0"), at(F.col("k") + 1, 0).alias("x1"), at(F.col("k") + 1, 1).alias("y1"))
+
+
+def places(spark, path: str) -> DataFrame:
+    """The places of a YAML list: name and terrain, with a point and radius or a name to look up."""
+    import yaml
+
+    with open(path) as fh:
+        rows = (yaml.safe_load(fh) or {}).get("places", [])
+    point = lambda r, k: None if r.get("point") is None else float(r["point"][k])
+    return spark.createDataFrame([(r.get("name"), r.get("terrain"), r.get("query"), point(r, 0), point(r, 1), None if r.get("dist_m") is None else float(r["dist_m"])) for r in rows],
+                                 "place string, terrain string, query string, lat double, lon double, radius_m double")
+
+
+def images(spark, path: str) -> DataFrame:
+    """8-bit PNG, JPEG and BMP files as dense rasters (path, bands, height, width, dtype, data, error), bands in the order
+    red, green, blue; files are decoded on the executors by Spark's image source."""
+    raw = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").load(path)
+    # without a host, the binary source writes one slash where this one writes three
+    raw = raw.select(F.regexp_replace("image.origin", "^([a-z0-9]+):///", "$1:/").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+
+    def planes(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                if r.height <= 0:
+                    rows.append((r.path, None, None, None, None, None, "not an image"))
+                    continue
+                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+                a = a[..., 2::-1] if r.nChannels >= 3 else a  # stored blue first; alpha goes
+                rows.append((r.path, a.shape[2], r.height, r.width, "|u1", np.ascontiguousarray(a.transpose(2, 0, 1)).tobytes(), None))
+            yield pd.DataFrame(rows, columns=["path", "bands", "height", "width", "dtype", "data", "error"]).astype({c: "Int32" for c in ("bands", "height", "width")})
+
+    return raw.mapInPandas(planes, "path string, bands int, height int, width int, dtype string, data binary, error string")
 
 
 def find_root(root: str, wanted, depth: int = 4) -> str | None:

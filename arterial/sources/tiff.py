@@ -6,8 +6,10 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
+from pyspark.sql import functions as F
 
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
@@ -179,31 +181,57 @@ def read(spark, paths, glob: str = "*.tif*", recursive: bool = True):
     return files.select("path", "content").mapInPandas(_decoded, "path string, bands int, height int, width int, dtype string, data binary, transform array<double>, epsg int, nodata double, error string")
 
 
-def _unpacked(batches):
+def _unpacked(batches, band):
     import pandas as pd
 
     for pdf in batches:
         for r in pdf.itertuples():
-            a = np.frombuffer(r.data, r.dtype).reshape(r.bands, r.height, r.width)[0]
-            at = np.argwhere(a > 0)
+            at = np.argwhere(np.frombuffer(r.data, r.dtype).reshape(r.bands, r.height, r.width)[band - 1] > 0)
             yield pd.DataFrame({"tile_id": r.path, "row": at[:, 0].astype("int32"), "col": at[:, 1].astype("int32")})
 
 
-def cells(rasters):
-    """Set cells (value > 0 in the first band) of dense rasters."""
-    good = rasters.where("error is null").select("path", "bands", "height", "width", "dtype", "data")
-    return good.mapInPandas(_unpacked, "tile_id string, row int, col int")
+def _with_band(rasters, band: int):
+    return rasters.where(F.col("error").isNull() & (F.col("bands") >= band)).select("path", "bands", "height", "width", "dtype", "data")
 
 
-def values(rasters):
-    """(raster_id, row, col, v) of the first band."""
-    def run(batches):
-        import pandas as pd
+def cells(rasters, band: int = 1):
+    """Set cells (value > 0 in the band, from 1) of dense rasters."""
+    return _with_band(rasters, band).mapInPandas(partial(_unpacked, band=band), "tile_id string, row int, col int")
 
-        for pdf in batches:
-            for r in pdf.itertuples():
-                a = np.frombuffer(r.data, r.dtype).reshape(r.bands, r.height, r.width)[0]
-                rows, cols = np.indices(a.shape)
-                yield pd.DataFrame({"raster_id": r.path, "row": rows.ravel().astype("int32"), "col": cols.ravel().astype("int32"), "v": a.ravel().astype(float)})
 
-    return rasters.where("error is null").select("path", "bands", "height", "width", "dtype", "data").mapInPandas(run, "raster_id string, row int, col int, v double")
+STRIP = 1 << 18  # values that one batch of values() holds
+
+
+def _valued(batches, band):
+    import pandas as pd
+
+    for pdf in batches:
+        for r in pdf.itertuples():
+            a = np.frombuffer(r.data, r.dtype).reshape(r.bands, r.height, r.width)[band - 1]
+            step = max(1, STRIP // max(1, r.width))
+            for y in range(0, r.height, step):
+                part = a[y : y + step]
+                rows, cols = np.indices(part.shape, "int32")
+                yield pd.DataFrame({"raster_id": r.path, "row": rows.ravel() + np.int32(y), "col": cols.ravel(), "v": part.ravel().astype(float)})
+
+
+def values(rasters, band: int = 1):
+    """(raster_id, row, col, v) of the band (from 1), in batches of some rows of pixels."""
+    return _with_band(rasters, band).mapInPandas(partial(_valued, band=band), "raster_id string, row int, col int, v double")
+
+
+def _saved(rows, folder):
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    for r in rows:
+        # written beside and renamed, so that a repeated task leaves whole files
+        aside = os.path.join(folder, f".{r['name']}.{os.getpid()}")
+        with open(aside, "wb") as f:
+            f.write(r["content"])
+        os.replace(aside, os.path.join(folder, r["name"]))
+
+
+def save(files, folder: str) -> None:
+    """Write (name, content) rows as files under a folder that all executors share."""
+    files.select("name", "content").foreachPartition(partial(_saved, folder=folder.removeprefix("file://")))
