@@ -39,7 +39,7 @@ def trade_graph(spark, sf_dir):
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     a, b = F.col("c_nationkey").cast("long"), F.col("s_nationkey").cast("long")
     e = j.where(a != b).groupBy(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).agg(F.count("*").alias("length"))
-    e = e.where((F.col("src") * 31 + F.col("dst") * 17) % 5 == 0).select(F.lit("trade").alias("graph_id"), "src", "dst", F.col("length").cast("double").alias("length"))
+    e = e.select(F.lit("trade").alias("graph_id"), "src", "dst", F.col("length").cast("double").alias("length"))
     ids = e.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     return ids.select("graph_id", "node_id", (F.col("node_id") % 5 * 10).cast("double").alias("x"), (F.floor(F.col("node_id") / 5) * 10).cast("double").alias("y")), e
 
@@ -76,8 +76,8 @@ SQL = {
     "m": _sql_cells(""),
     "p": _sql_cells(" + event_id % 2"),
     "o": f"""SELECT tile_id, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM (SELECT DISTINCT tile_id FROM m), range({TILE}) a(r), range(8, 16) b(c)""",
-    "e": """SELECT * FROM (SELECT least(c_nationkey, s_nationkey)::BIGINT AS src, greatest(c_nationkey, s_nationkey)::BIGINT AS dst, count(*)::DOUBLE AS length FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2) WHERE (src * 31 + dst * 17) % 5 = 0""",
+    "e": """SELECT least(c_nationkey, s_nationkey)::BIGINT AS src, greatest(c_nationkey, s_nationkey)::BIGINT AS dst, count(*)::DOUBLE AS length FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2""",
     "n": "SELECT DISTINCT u AS node_id FROM (SELECT src AS u FROM e UNION ALL SELECT dst FROM e)",
     "vn": "SELECT label::VARCHAR AS graph_id, vec_id::BIGINT AS node_id, trunc(embedding[1]::DOUBLE * 1000) AS x, trunc(embedding[2]::DOUBLE * 1000) AS y FROM embeddings",
     "ve": """SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, floor(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS length, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM vn a JOIN vn b ON a.graph_id = b.graph_id

@@ -285,12 +285,6 @@ def heal_candidates(spark, d):
     return G.heal_candidates(*X.vector_graph(spark, d), 80.0)
 
 
-@query()
-def heal_bridges(spark, d):
-    b = G.heal(*X.vector_graph(spark, d), 80.0)
-    return b.select("graph_id", "src", "dst", r6("length"))
-
-
 # every pair of components within reach is joined in the end, so the components after healing are those of edges and candidates
 @query(with_ctes("vn ve", f""", {_CAND}, j(graph_id, r0, r) AS (SELECT DISTINCT graph_id, component, component FROM k UNION SELECT j.graph_id, j.r0, z.b FROM j JOIN (SELECT graph_id, ca AS a, cb AS b FROM c UNION SELECT graph_id, cb, ca FROM c) z ON z.graph_id = j.graph_id AND z.a = j.r),
 m2 AS (SELECT graph_id, r0, min(r) AS lab FROM j GROUP BY 1, 2)
@@ -310,10 +304,11 @@ def hazard_band(spark, d):
     return H.BandHazard("y", -50.0, 120.0).impacted(X.vector_graph(spark, d)[0])
 
 
-@query(with_ctes("vn", "SELECT graph_id, node_id FROM vn WHERE node_id % 7 = 0 AND node_id < 300"))
+@query(with_ctes("vn", "SELECT graph_id, node_id FROM vn WHERE node_id IN (SELECT doc_id FROM documents)"))
 def hazard_nodes(spark, d):
     n = X.vector_graph(spark, d)[0]
-    ids = n.where("node_id % 7 = 0 and node_id < 300").select("graph_id", "node_id").unionByName(spark.createDataFrame([("none", -1)], "graph_id string, node_id long"))
+    listed = X.table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("node_id"))
+    ids = n.select("graph_id", "node_id").join(listed, "node_id", "left_semi").unionByName(listed.withColumn("graph_id", F.lit("none")))
     return H.NodeHazard(ids).impacted(n)
 
 
@@ -423,22 +418,12 @@ def critical_top(spark, d):
 # ------------------------------------------------------------------------------- results that SQL can't give, by kernels
 
 
-@query()
-def mask_skeleton(spark, d):
-    return R.skeletonise(X.mask(spark, d))
-
-
 @query()
 def mask_graph_stats(spark, d):
     n, e = R.mask_to_graph(X.mask(spark, d), TILE)
     return G.stats(n, e).select("graph_id", big("n_nodes"), big("n_edges"), big("n_components"), r6("total_length"))
 
 
-@query()
-def mask_cldice(spark, d):
-    return R.cldice(X.mask(spark, d), X.prediction(spark, d)).select("tile_id", r6("cldice"))
-
-
 @query()
 def graph_apls(spark, d):
     a = R.mask_to_graph(X.mask(spark, d), TILE)

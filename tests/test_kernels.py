@@ -75,15 +75,6 @@ def test_dissolve_keeps_the_shorter_of_parallel_edges():
     assert not [u for u in adj if len(adj[u]) == 2]
 
 
-def test_apls_identical_broken_and_empty():
-    xy = {0: (0.0, 0.0), 1: (10.0, 0.0), 2: (20.0, 0.0)}
-    whole = K.adjacency([(0, 1, 10.0), (1, 2, 10.0)], xy)
-    cut = K.adjacency([(0, 1, 10.0)], xy)
-    assert K.apls(whole, xy, whole, xy, 1.0) == 1
-    assert K.apls(whole, xy, cut, xy, 1.0) < 1
-    assert K.apls({}, {}, {}, {}) == 1 and K.apls(whole, xy, {}, {}) == 0
-
-
 def test_dynamic_attack_is_no_milder_on_a_line():
     adj = line(9)
     assert K.attack(adj, 2, False)[0] == K.attack(adj, 2, True)[0] == 4

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from arterial.functions import geodesy, scalars as S
 from arterial.operators import graph as G, hazard as H, occlusion as O, raster as R, resilience, tiles as T
 from arterial.plans.pipeline import as_json, healing_ablation, map_layers, tile_reports
-from arterial.plans.predict import origins, predict, to_uint8
+from arterial.plans.predict import augmented, predict, predict_rasters, predicted_cells, prediction_files, probabilities, resized, stretched, window_starts
 from arterial.sources import tables, tiff
 from arterial.streaming import running
 
@@ -93,7 +93,7 @@ def test_windows_and_grid(spark):
     df = spark.createDataFrame([(1024,), (1500,), (1000,), (512,), (300,)], "n int")
     got = [r[0] for r in df.select(T.starts("n", 512, 384)).collect()]
     assert got == [[0, 384, 512], [0, 384, 768, 988], [0, 384, 488], [0], [0]]
-    assert T.inference_window(512, 0.25) == (512, 384) and origins(1300, 512, 256) == [0, 256, 512, 768, 788]
+    assert T.inference_window(512, 0.25) == (512, 384) and window_starts(1300, 512, 256).tolist() == [0, 256, 512, 768, 788]
     p = spark.createDataFrame([("p", 0.0, 0.0, 1000.0, 1000.0)], "place string, west double, south double, east double, north double")
     assert T.tile_grid(p, 100, 1.0).count() == 100 and T.tile_grid(p, 100, 1.0, 0.5).count() > 100
     with pytest.raises(ValueError):
@@ -149,9 +149,9 @@ def test_blend_of_a_constant_is_constant(spark):
 
 
 def test_stretch_of_ramp_and_flat_band():
-    u = to_uint8(np.arange(4096, dtype=np.uint16).reshape(1, 64, 64))
+    u = stretched(np.arange(4096, dtype=np.uint16).reshape(1, 64, 64))
     assert u.min() == 0 and u.max() == 255
-    assert np.isfinite(to_uint8(np.full((1, 4, 4), 700, np.uint16)).astype(float)).all()
+    assert np.isfinite(stretched(np.full((1, 4, 4), 700, np.uint16)).astype(float)).all()
 
 
 def test_tiff_round_trip_and_errors(spark, tmp_path):
@@ -217,7 +217,7 @@ def test_half_diagonal(spark):
 
 def test_occlusion_invariants(spark):
     mask = np.zeros((128, 128), np.uint8); mask[58:70] = 1
-    img, occ, hidden, share, counts = O.occlude(np.full((128, 128, 3), 100, np.uint8), mask, coverage=(0.4, 0.4), seed=3)
+    img, occ, hidden, share, counts = O.occlude(np.full((128, 128, 3), 100, np.uint8), mask, coverage=(0.4, 0.4), prob=1.0, seed=3)
     assert share >= 0.35 and (hidden <= (mask > 0)).all() and sum(counts.values()) > 0
     plain = np.full((128, 128, 3), 100, np.uint8)
     assert (O.occlude(plain, mask, prob=0.0)[0] == plain).all()
