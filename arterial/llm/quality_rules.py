@@ -6,8 +6,10 @@ is (measure, least, most). A document is kept if it passes the base rule and eve
 n_repeat_words counts the words covered by 3-word windows that occur at least twice. The windows' 64-bit hashes are
 sorted with their places inside the row, so equal ones become neighbours: n log n in a text's words, without a shuffle.
 
-Edge cases: null text has no words; a text without words has ratios of 0 and fails the base rule; rows are independent;
-extra columns are ignored.
+Edge cases: null text has no words; a text without words has ratios of 0 and fails the base rule; rows are independent,
+so repeated rows and a null doc_id are taken as they are; a text of any length is one row's work; extra columns are
+ignored, whatever their names; an empty table gives no rows. Of a language that STOP_WORDS doesn't cover, texts can fail
+the least share of stop words: that is the rule's verdict, not a lost row.
 """
 
 from __future__ import annotations

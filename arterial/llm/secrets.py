@@ -8,7 +8,8 @@ Spans are code points, end exclusive, by start and then kind in the order of KIN
 taken from the left; a match that fails its length or checksum still uses up its characters.
 
 Edge cases: null or empty text has no spans; rows are independent, so repeated rows give repeated results; extra columns
-are ignored by scan() and kept by redact(); texts are scanned whole whatever their length.
+are ignored by scan() and kept by redact(), whatever their names; a null doc_id stays null; texts are scanned whole
+whatever their length; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ A token that crosses a boundary goes, by `rule`: 'first' to the section where it
 ends, 'most' to the one that holds most of its characters (of equals the first). Section counts always add up to the
 document's count.
 
-Edge cases: null or empty text is one empty section without tokens; repeated rows are counted each; extra columns are
-ignored; an empty table gives no rows.
+Edge cases: null or empty text is one empty section without tokens; repeated rows are counted each; a null doc_id stays
+null; a text of any length is encoded whole; a token that no section holds a character of counts where it stands; extra
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

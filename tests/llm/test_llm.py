@@ -578,3 +578,200 @@ def test_the_pipelines_last_table_holds_the_ids(spark):
 
     rows = corpus_pipeline.pack_documents(spark, table(spark, DOCS), None).collect()
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
+
+
+# ------------------------------------------------------------------------------- queries against brute force, odd tables
+
+
+def test_leaks_equal_an_exhaustive_comparison(spark):
+    """Every document against every item, over every stretch of half again the item's length."""
+    rng = np.random.default_rng(21)
+    items = [(k, " ".join(words(rng, int(rng.integers(14, 24))))) for k in range(5)]
+    docs = []
+    for i in range(60):
+        w = words(rng, int(rng.integers(5, 90)))
+        if i % 2:
+            part = items[int(rng.integers(5))][1].split()
+            for j in rng.integers(0, len(part) - (4 if i % 4 == 1 else 0), int(rng.integers(0, 9))):
+                part[j] = "changed"
+            at = int(rng.integers(0, len(w) + 1))
+            w[at:at] = part
+        docs.append((i, " ".join(w)))
+    want = {}
+    for i, text in docs:
+        w = text.split()
+        for k, item in items:
+            a = item.split()
+            most, tail = len(a) + len(a) // 2 + 2, a[-max(3, len(a) // 5) :]
+            for lo in range(len(w)):
+                if w[lo] not in a:
+                    continue
+                stretch = w[lo : lo + most]
+                last = lo + max(j for j, x in enumerate(stretch) if x in a)
+                answer = any(w[j : j + len(tail)] == tail and lo - len(tail) <= j <= last + 1 for j in range(len(w)))
+                share = longest(a, stretch) / len(a)
+                if share >= (0.6 if answer else 0.8) - 1e-9:
+                    want[i, k] = max(want.get((i, k), 0), share)
+    got = {(r.doc_id, r.item_id): r.lcs for r in D.find_leaks(spark, table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), exact=2.0).collect()}
+    assert got == pytest.approx(want) and 10 < len(want) < 40
+    near = {(r.doc_id, r.item_id) for r in D.find_leaks(spark, table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert near <= set(want) and len(near) >= 0.9 * len(want)
+
+
+def test_odd_tables_of_documents_and_items(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [(None, item), (1, None), (2, item + " and more"), (2, item + " and more"), (3, "x " * 200_000 + item), (4, "")]
+    bench = spark.createDataFrame([(7, item, 1), (None, item, 2), (8, None, 3)], "item_id long, text string, doc_id int")
+    rows = D.find_leaks(spark, table(spark, docs), bench).collect()
+    assert collections.Counter((r.doc_id, r.item_id) for r in rows) == {(d, i): n for d, n in ((None, 1), (2, 2), (3, 1)) for i in (7, None)}
+    assert {r.start_word for r in rows if r.doc_id == 3} == {200_000}
+    left = D.remove_leaks(spark, table(spark, docs), bench)
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "None"] and left.columns == ["doc_id", "text", "score", "sequence_id"]
+    empty = table(spark, []).limit(0)
+    assert D.find_leaks(spark, empty, bench).count() == 0 and D.remove_leaks(spark, empty, bench).count() == 0
+
+
+def attributed(offsets, bounds, rule):
+    """By section, the tokens that a plain loop gives it."""
+    out = [0] * (len(bounds) - 1)
+    for a, b in offsets:
+        shares = [max(0, min(b, bounds[k + 1]) - max(a, bounds[k])) for k in range(len(out))]
+        held = [k for k, s in enumerate(shares) if s] or [next((k for k in range(len(out)) if bounds[k] <= a < bounds[k + 1]), len(out) - 1)]
+        out[held[0] if rule == "first" else held[-1] if rule == "last" else max(held, key=lambda k: (shares[k], -k))] += 1
+    return out
+
+
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_section_counts_equal_the_library(spark, rule):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = [*ODD, *OFFSET, "a\n\n\n  b\n", "word " * 3000 + "\n" + "line\n" * 50]
+    rows = collections.defaultdict(list)
+    for r in tokencount.count_tokens(table(spark, list(enumerate(texts))), rule=rule).collect():
+        rows[r.doc_id].append(r)
+    for i, text in enumerate(texts):
+        mine = sorted(rows[i], key=lambda r: r.section)
+        offsets = library.encode(text, add_special_tokens=False).offsets
+        assert mine[0].doc_tokens == len(offsets)
+        bounds = [r.char_start for r in mine] + [mine[-1].char_end]
+        assert [r.n_tokens for r in mine] == attributed(offsets, bounds, rule), text[:50]
+    assert tokencount.count_tokens(table(spark, []).limit(0), rule=rule).count() == 0
+    nulls = tokencount.count_tokens(table(spark, [(None, "x"), (1, None), (1, None)]), rule=rule).collect()
+    assert len(nulls) == 3 and sum(r.n_tokens for r in nulls) == 1
+
+
+def clash(spark, docs, labels, name):
+    """Labels that clash, repeated ids and rows, null ids and labels, in another order."""
+    more = labels.unionByName(labels.limit(20).withColumn(name, F_lit(0))).unionByName(spark.createDataFrame([(None, 1, 1), (5, None, None), (9999, 1, 1)], labels.schema))
+    twice = docs.unionByName(docs.limit(30)).unionByName(spark.createDataFrame([(None, "x", "s", 1), (3, "another text", "s", 1)], docs.schema))
+    return twice, more
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
+def skewed_words(rng):
+    """Prose of two kinds that share most of their words; each text also has words of its own."""
+    y = int(rng.random() < 0.5)
+    common, own = [f"w{k}" for k in range(60)], [f"{'good' if y else 'junk'}{k}" for k in range(40)]
+    w = list(rng.choice(common, 60)) + list(rng.choice(own, 4)) + [f"x{rng.integers(1 << 30)}" for _ in range(20)]
+    rng.shuffle(w)
+    return " ".join(w), y
+
+
+@pytest.mark.parametrize("operator", ["quality", "toxic"])
+def test_classifiers_are_determined_by_their_tables(spark, operator):
+    module = Q if operator == "quality" else T
+    docs, labels, truth = labelled(spark, skewed_words, 500)
+    docs, labels = clash(spark, docs, labels, operator)
+    score = lambda d, la: sorted((r.doc_id is not None, r.doc_id or 0, r.score, r.held_out) for r in module.classify(spark, d, la).collect())
+    one = score(docs, labels)
+    assert one == score(docs.orderBy("text").repartition(5), labels.repartition(3).orderBy(operator))
+    assert len(one) == docs.count() and all(not x[3] for x in one if not x[0]) and all(0 <= x[2] <= 1 for x in one)
+    held = [(x[2], truth[x[1]]) for x in one if x[3] and x[1] in truth]
+    up, down = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([a > b for a in up for b in down]) > 0.95
+    assert module.classify(spark, docs.limit(0), labels).count() == 0
+    few = module.classify(spark, docs, labels, fit_bytes=2000).collect()  # hardly any text fits: still a score for all
+    assert len(few) == len(one)
+
+
+def test_scores_are_sums_of_weights_by_text_alone():
+    rng = np.random.default_rng(3)
+    texts = [skewed_words(rng)[0] for _ in range(50)] + ["", "é", "one two " * 5000]
+    buf, offsets = text_bytes(text_column(pa.array(texts), lower=False))
+    doc, feature = Q.ngrams(buf, offsets)
+    for k, text in enumerate(texts):
+        alone = Q.ngrams(*text_bytes(text_column(pa.array([text]), lower=False)))[1]
+        assert sorted(feature[doc == k].tolist()) == sorted(alone.tolist()) and len(set(alone.tolist())) == len(alone)
+
+
+def test_toxicity_features_of_a_text_do_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(4)
+    texts = ["You sn@rfle! GRUMBLOR you", "", "plain words only here", "sn4rfle " * 3000] + [skewed_words(rng)[0] for _ in range(20)]
+    keys = T._hash_words(["snarfle", "grumblor"])
+    lexicon, persons = (keys, np.array([2.0, 3.0])), T._hash_words(T.PERSONS)
+    whole = T.features(*Q.joined([t.encode() for t in texts]), lexicon, persons)
+    assert np.allclose(whole, np.concatenate([T.features(*Q.joined([t.encode()]), lexicon, persons) for t in texts]))
+    hits = dict(zip(T.FEATURES, whole[0], strict=True))
+    assert hits["hits"] == 2 and hits["distinct"] == 2 and hits["near_person"] == 2 and not whole[1].any() and whole[3][0] == 3000
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library_on_random_strings(name):
+    e = ChunkEncoder(tokenizer_path(name))
+    rng = np.random.default_rng(17)
+    bits = ["a", "The", "é", "ß", "ſ", "Σ", "漢", "1", "22", ".", ",", "!", "'s", "'", "-", "<", ">", "|", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2028", "\x1c", "\x0b", "\u200b", "\u0301", "😀", "İ", "K", "½"]
+    for _ in range(6):
+        texts = ["".join(rng.choice(bits, int(rng.integers(1, 16)))) for _ in range(5000)]
+        want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert e.encode(texts) == want
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, "a b c d e f", 1, "x"), (1, "a b c d e f", 1, "x"), (1, "another text of one id that is clean", 2, "x"), (None, "no id here", 3, None), (None, None, 4, None), (2, None, 5, "y"), (3, "", 6, "y"), (4, long, 7, "z"), (5, long + " more", 8, "z")]
+    schema = "doc_id long, text string, node long, root string"
+    names = {"labels": ([], "doc_id long, quality int, toxic int"), "benchmark": ([], "item_id long, text string")}
+    for name, (data, kind) in names.items():
+        spark.createDataFrame(data, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for data, many in ((rows, 6), ([], 0)):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "packing":
+                assert (out.count() == 0) == (not data)
+            else:
+                docs = out
+                assert docs.columns == ["doc_id", "text", "node", "root"]
+        left = docs.collect()
+        assert len(left) == many and sorted(r.doc_id for r in left if r.doc_id) == ([1, 1, 2, 4] if data else [])
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    from arterial.llm.common import scratch_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Spark:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(RuntimeError):
+        scratch_dir(Spark())
+    Spark.sparkContext.master = "local[2]"
+    assert scratch_dir(Spark()).startswith("file:///")
