@@ -45,18 +45,54 @@ def _labels(batches):
         yield pd.DataFrame(out, columns=["graph_id", "node_id", "component"])
 
 
+SLICES = 8  # parts by node that one graph's edges are thinned in, before a worker is given what is left
+
+
+def _thinned(batches, forests: int):
+    import pandas as pd
+
+    held: dict = {}
+    for pdf in batches:
+        kept = []
+        for i, (graph, a, b) in enumerate(zip(pdf["graph_id"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)):
+            sets = held.get(graph)
+            if sets is None:
+                sets = held[graph] = [K.Sets(()) for _ in range(forests)]
+            if any(s.link(a, b) for s in sets):
+                kept.append(i)
+        yield pdf.iloc[kept]
+
+
+def thinned(edges: DataFrame, forests: int = 1) -> DataFrame:
+    """Edges that hold the graph together as all do: those of `forests` disjoint spanning forests, of what a task has at hand,
+    of each of SLICES parts of a graph, and last of the graph. One forest keeps the components; two, of edges without
+    parallels, keep the cut edges too. At most `forests` edges a node are left; edges stream by, a task holds labels of nodes."""
+    schema = f"graph_id {dict(edges.dtypes)['graph_id']}, src {dict(edges.dtypes)['src']}, dst {dict(edges.dtypes)['dst']}, length double"
+    run = partial(_thinned, forests=forests)
+    e = edges.select("graph_id", "src", "dst", F.col("length").cast("double").alias("length"))
+    if forests == 1:
+        e = e.mapInPandas(run, schema)
+    # an edge's part hangs on its smaller end, so that parallel edges meet
+    e = e.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "length")
+    e = e.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(SLICES))).repartition("graph_id", "part")
+    if forests > 1:
+        e = e.groupBy("graph_id", "part", "src", "dst").agg(F.min("length").alias("length"))
+    parts = e.select("graph_id", "src", "dst", "length").mapInPandas(run, schema)
+    return parts.repartition("graph_id").mapInPandas(run, schema)
+
+
 def has_large(nodes: DataFrame, most: int = LARGE) -> bool:
     """Whether any graph has more than `most` nodes: one count per graph, run when called."""
     return (nodes.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0) > most
 
 
 def components(nodes: DataFrame, edges: DataFrame, large: bool = False) -> DataFrame:
-    """Component of each node: its least node_id. One kernel call per graph, which fits a worker; large: by relational
-    rounds, for graphs of any size (ask has_large() where sizes aren't known)."""
+    """Component of each node: its least node_id. One kernel call per graph, which is given the nodes and the thinned edges;
+    large: by relational rounds, for graphs of any size (ask has_large() where sizes aren't known)."""
     kinds = dict(nodes.dtypes)
     if large:
         return components_of_large(nodes, edges)
-    return pack(nodes, edges).mapInPandas(_labels, f"graph_id {kinds['graph_id']}, node_id long, component long")
+    return pack(nodes, thinned(edges)).mapInPandas(_labels, f"graph_id {kinds['graph_id']}, node_id long, component long")
 
 
 def components_of_large(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -146,12 +182,18 @@ def nearest_to(nodes: DataFrame, x: float, y: float) -> DataFrame:
 
 def heal_candidates(nodes: DataFrame, edges: DataFrame, gap: float, endpoints_only: bool = True) -> DataFrame:
     """(graph_id, a, b, d2, ca, cb): pairs across components within gap, with a dead end on at least one side."""
-    about = degree(nodes, edges).join(components(nodes, edges), ["graph_id", "node_id"])
-    at = lambda end: about.select("graph_id", F.col("node_id").alias(end), F.col("degree").alias(f"d_{end}"), F.col("component").alias(f"c{end}"))
-    found = pairs_within(nodes, gap).join(at("a"), ["graph_id", "a"]).join(at("b"), ["graph_id", "b"]).where("ca <> cb")
-    if endpoints_only:
-        found = found.where("d_a = 1 or d_b = 1")
-    return found.select("graph_id", "a", "b", "d2", "ca", "cb")
+    about = nodes.join(degree(nodes, edges), ["graph_id", "node_id"]).join(components(nodes, edges), ["graph_id", "node_id"])
+    # what a pair must fulfil is known of its points, so only those ends look around that may have one
+    begins = about.where("degree = 1") if endpoints_only else about
+    at = lambda df, size, name, spread="": _cells(df.select("graph_id", F.col("node_id").alias(name), F.col("degree").alias(f"d_{name}"), F.col("component").alias(f"c{name}"), "x", "y"), size, spread).withColumnsRenamed({"x": f"x{name}", "y": f"y{name}"})
+    u, v = at(begins, gap, "u", "all").drop("own"), at(about, gap, "v")
+    d2 = (F.col("xu") - F.col("xv")) ** 2 + (F.col("yu") - F.col("yv")) ** 2
+    # a pair of two such ends is found from both
+    once = (F.col("u") < F.col("v")) | (F.col("d_v") != 1) if endpoints_only else F.col("u") < F.col("v")
+    found = u.join(v, ["graph_id", "cx", "cy"]).where((F.col("cu") != F.col("cv")) & once).withColumn("d2", d2).where(F.col("d2") <= gap * gap)
+    first = F.col("u") < F.col("v")
+    side = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
+    return found.select("graph_id", side("u", "v", "a"), side("v", "u", "b"), "d2", side("cu", "cv", "ca"), side("cv", "cu", "cb"))
 
 
 def _forest(pdf):
@@ -372,7 +414,7 @@ def _cuts(batches, gap: float, k: int, seed: int):
 
 def damage(nodes: DataFrame, edges: DataFrame, gap: float, k: int, seed: int = 42):
     """(nodes, edges) without up to k cut edges no longer than gap, and without nodes left bare."""
-    cut = pack(nodes, edges).mapInPandas(partial(_cuts, gap=gap, k=k, seed=seed), f"graph_id {dict(nodes.dtypes)['graph_id']}, src long, dst long")
+    cut = pack(nodes, thinned(edges, 2)).mapInPandas(partial(_cuts, gap=gap, k=k, seed=seed), f"graph_id {dict(nodes.dtypes)['graph_id']}, src long, dst long")
     lo_hi = edges.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
     left = lo_hi.join(cut.withColumnsRenamed({"src": "lo", "dst": "hi"}), ["graph_id", "lo", "hi"], "left_anti").select(*edges.columns)
     used = left.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
