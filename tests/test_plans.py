@@ -441,3 +441,18 @@ def test_graphs_of_many_edges_equal_their_sql(spark, tmp_path, monkeypatch, name
     monkeypatch.setattr(G, "MOST_NODES", 200)  # far fewer than the edges of label 0
     dense_places(tmp_path)
     assert len(same_as_sql(spark, tmp_path, name)) >= 2
+
+
+def test_damage_of_a_graph_of_many_edges_cuts_what_the_whole_graph_would(spark, monkeypatch):
+    monkeypatch.setattr(G, "MOST_NODES", 200)
+    rng = np.random.default_rng(8)
+    # dense knots, chains between them, and edges there twice, of which only the shorter counts
+    edges = [(50 * k + int(a), 50 * k + int(b), 30.0) for k in range(2) for a, b in rng.integers(0, 30, (400, 2))]
+    edges += [(k, k + 1, 10.0 + k % 40) for k in (*range(29, 50), *range(79, 95))] + [(40, 41, 90.0), (42, 41, 5.0), (85, 85, 1.0), (94, 96, 99.0)]
+    n = spark.createDataFrame([("g", i, 0.0, 0.0) for i in range(97)], NODES)
+    e = spark.createDataFrame([("g", *x) for x in edges], EDGES).repartition(4)
+    whole = K.adjacency(edges, range(97))
+    cut = {x for x in K.bridges(whole) if whole[x[0]][x[1]] <= 40.0}
+    assert len(cut) > 20
+    _, left = G.damage(n, e, 40.0, 1000)
+    assert {(min(r.src, r.dst), max(r.src, r.dst)) for r in left.collect()} == {(min(x[:2]), max(x[:2])) for x in edges} - cut
