@@ -51,11 +51,19 @@ def occlusion_recall(truth: DataFrame, pred: DataFrame, occluded: DataFrame) ->
     return a.groupBy("tile_id").agg(hidden.alias("hidden"), recovered.alias("recovered")).withColumn("occlusion_recall", F.expr("recovered / nullif(hidden, 0)"))
 
 
+def overall_and_by(key: str, per_tile: DataFrame, *aggregates) -> DataFrame:
+    """Aggregates over all rows (key is null, overall is true) and by key, with n_tiles. As in SQL, the overall row is there
+    without any rows too, its sums null."""
+    # grouping sets of no rows have no groups, so one row that counts as no tile is added
+    rows = per_tile.withColumn("_tile", F.lit(1)).unionByName(per_tile.sparkSession.range(1).select(F.lit(None).cast("int").alias("_tile")), allowMissingColumns=True)
+    out = rows.groupingSets([[], [key]], key).agg(*aggregates, F.count("_tile").alias("n_tiles"), (F.grouping(key) == 1).alias("overall"))
+    return out.where("overall or n_tiles > 0")
+
+
 def by_stratum(truth: DataFrame, pred: DataFrame, strata: DataFrame) -> DataFrame:
     """Confusion overall and by terrain in one pass; terrain is null in the overall row. strata: (tile_id, terrain)."""
     per_tile = aligned(truth, pred).groupBy("tile_id").agg(*confusion_columns()).join(strata, "tile_id")
-    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
-    return ratios(per_tile.groupingSets([[], ["terrain"]], "terrain").agg(*sums, F.count("*").alias("n_tiles")))
+    return ratios(overall_and_by("terrain", per_tile, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).drop("overall"))
 
 
 def cell_graph(cells: DataFrame, width: int):

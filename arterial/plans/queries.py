@@ -141,9 +141,10 @@ def mask_confusion(spark, d):
 @query(with_ctes("m p o", f""", {_ALIGNED}, s AS (SELECT *, CASE WHEN length(tile_id) % 2 = 0 THEN 'even' ELSE 'odd' END AS terrain FROM a)
 SELECT terrain, tp, fp, fn, {_RATIOS}, n_tiles FROM (SELECT terrain, {_COUNTS}, count(DISTINCT tile_id)::BIGINT AS n_tiles FROM s GROUP BY GROUPING SETS ((), (terrain)))"""))
 def eval_by_terrain(spark, d):
-    m = X.mask(spark, d)
-    strata = m.select("tile_id").distinct().withColumn("terrain", F.when(F.length("tile_id") % 2 == 0, "even").otherwise("odd"))
-    return R.by_stratum(m, X.prediction(spark, d), strata).select("terrain", *_ratio_cols(), big("n_tiles"))
+    m, p = X.mask(spark, d), X.prediction(spark, d)
+    tiles = m.select("tile_id").unionByName(p.select("tile_id")).distinct()
+    strata = tiles.withColumn("terrain", F.when(F.length("tile_id") % 2 == 0, "even").otherwise("odd"))
+    return R.by_stratum(m, p, strata).select("terrain", *_ratio_cols(), big("n_tiles"))
 
 
 @query(with_ctes("m p o", f", {_ALIGNED} SELECT tile_id, sum(t * o)::BIGINT AS hidden, sum(t * o * p)::BIGINT AS recovered, round(sum(t * o * p) / nullif(sum(t * o), 0), 6) AS occlusion_recall FROM a GROUP BY 1"))
