@@ -66,7 +66,8 @@ def predicted(tiles: DataFrame, model, threshold: float = 0.5, occlusion: dict |
 
 def report(strata: DataFrame, truth: DataFrame, clean: DataFrame, occluded: DataFrame, covered: DataFrame, width: int, resolution: float = 0.5, topology: bool = True, apls: bool = False) -> DataFrame:
     """One row over all tiles (terrain is null) and one per terrain. Counts are summed before ratios are taken, clDice,
-    connectivity and APLS are means over tiles; occlusion recall is null where no road was covered. strata: (tile_id,
+    connectivity and APLS are means over tiles; occlusion recall is null where no road was covered. Without tiles the overall
+    row is there, its measures null. strata: (tile_id,
     terrain), which also names tiles whose masks are empty."""
     key = ["tile_id", "row", "col"]
     counts = R.aligned(truth, clean).groupBy("tile_id").agg(*R.confusion_columns())
@@ -86,8 +87,8 @@ def report(strata: DataFrame, truth: DataFrame, clean: DataFrame, occluded: Data
         per_tile = per_tile.join(score, "tile_id", "left").withColumn("apls", F.coalesce("apls", both_empty))
         means.append("apls")
     sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "hidden", "recovered")]
-    out = per_tile.groupingSets([[], ["terrain"]], "terrain").agg(F.count("*").alias("n_tiles"), F.grouping("terrain").alias("overall"), *sums, *[F.avg(c).alias(c) for c in means])
-    return R.ratios(out).withColumn("occlusion_recall", F.expr("recovered / nullif(hidden, 0)")).withColumn("overall", F.col("overall") == 1)
+    out = R.overall_and_by("terrain", per_tile, *sums, *[F.avg(c).alias(c) for c in means])
+    return R.ratios(out).withColumn("occlusion_recall", F.expr("recovered / nullif(hidden, 0)"))
 
 
 def evaluate(spark, manifest: DataFrame, masks: DataFrame, images: DataFrame | None, model, width: int, split: str = "test", dry_run: bool = False, most: int | None = None, folder: str | None = None, **options) -> DataFrame:

@@ -456,3 +456,31 @@ def test_damage_of_a_graph_of_many_edges_cuts_what_the_whole_graph_would(spark,
     assert len(cut) > 20
     _, left = G.damage(n, e, 40.0, 1000)
     assert {(min(r.src, r.dst), max(r.src, r.dst)) for r in left.collect()} == {(min(x[:2]), max(x[:2])) for x in edges} - cut
+
+
+def events(folder, kinds):
+    """Events of types whose masks are empty ("flat"), or set in the truth or the prediction alone."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = []
+    for name, kind in kinds.items():
+        for user in range(32):
+            # a cell holds a quarter more events than the mean or is empty; the prediction's rows move by event_id % 2
+            for slot in range(32):
+                n = {"flat": 2, "both": 6 if user < 4 else 1, "truth": 3 if user % 4 < 2 else 1, "pred": 2}[kind]
+                for k in range(n):
+                    odd = k % 2 if kind != "pred" else int(user % 4 >= 2)
+                    if kind == "truth":
+                        odd = int(user % 4 == 0) if k else 0
+                    rows.append((len(rows) * 2 + odd, 45 * 60 * slot, user, name))
+    t = pa.table({"event_id": pa.array([r[0] for r in rows]), "ts": pa.array([1_700_006_400_000_000 + r[1] * 1_000_000 for r in rows], pa.timestamp("us")), "user_id": pa.array([r[2] for r in rows]), "event_type": pa.array([r[3] for r in rows])})
+    pq.write_table(t, f"{folder}/events.parquet")
+
+
+@pytest.mark.parametrize("kinds", [{"a": "flat", "bb": "flat"}, {"a": "flat", "bb": "pred", "ccc": "both"}, {"a": "truth", "bb": "both", "cccc": "pred"}])
+@pytest.mark.parametrize("name", ["eval_by_terrain", "evaluation_report"])
+def test_reports_of_empty_masks_equal_their_sql(spark, tmp_path, name, kinds):
+    events(tmp_path, kinds)
+    rows = same_as_sql(spark, tmp_path, name)
+    assert sum(r[0] is None for r in rows) == 1
