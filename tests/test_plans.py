@@ -436,7 +436,7 @@ def same_as_sql(spark, folder, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["graph_components", "heal_bridges", "heal_lengths", "largest_component", "graph_stats", "heal_candidates"])
+@pytest.mark.parametrize("name", ["graph_components", "heal_bridges", "heal_lengths", "largest_component", "graph_stats", "heal_candidates", "heal_summary"])
 def test_graphs_of_many_edges_equal_their_sql(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(G, "MOST_NODES", 200)  # far fewer than the edges of label 0
     dense_places(tmp_path)
