@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import partial
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +13,7 @@ from arterial.operators import kernels as K
 
 CHUNK = 64  # sources a slice of a graph has at least, where the graph is cut at all
 MOST_NODES = 2_000_000  # nodes and edges of one graph that a worker is given; beyond them kernels refuse it
+FEW_CUTS = 100_000  # cut edges of all graphs that are broadcast
 LARGE = 200_000  # nodes from which components() goes by relational rounds, where the caller knows of such graphs
 
 
@@ -48,37 +51,84 @@ def _labels(batches):
 SLICES = 8  # parts by node that one graph's edges are thinned in, before a worker is given what is left
 
 
+class _Forests:
+    """One or two disjoint spanning forests of a graph, grown by batches of edges. Labels of its nodes are held as arrays too, anew
+    after as many edges in vain as it has nodes: an edge within one tree of each forest can't join any, and goes without a loop.
+    With two, an edge of the first is held until the second joins its ends as well, with the least length of its parallels."""
+
+    def __init__(self, forests: int):
+        self.sets, self.ids, self.roots, self.vain, self.held = [K.Sets(()) for _ in range(forests)], np.zeros(0, np.int64), [], 0, {}
+
+    def grow(self, src: np.ndarray, dst: np.ndarray, length: np.ndarray) -> list:
+        """The (src, dst, length) that are known to stay, of these edges and those held."""
+        if len(self.ids):
+            i, j = (np.minimum(np.searchsorted(self.ids, end), len(self.ids) - 1) for end in (src, dst))
+            within = (self.ids[i] == src) & (self.ids[j] == dst)
+            for root in self.roots:
+                within &= root[i] == root[j]
+            src, dst, length = src[~within], dst[~within], length[~within]
+        first, second = self.sets[0], self.sets[-1]
+        out = []
+        for edge in zip(src.tolist(), dst.tolist(), length.tolist(), strict=True):
+            a, b, w = edge
+            if first.link(a, b):
+                if first is second:
+                    out.append(edge)
+                else:
+                    self.held[min(a, b), max(a, b)] = w
+                continue
+            if first is not second:
+                least = self.held.get((min(a, b), max(a, b)))
+                if least is None and second.link(a, b):
+                    out.append(edge)
+                    continue
+                if least is not None and (w < least or least != least):
+                    self.held[min(a, b), max(a, b)] = w
+            self.vain += 1
+        if self.vain > len(first.up):
+            self.settle()
+            out += [(*e, self.held.pop(e)) for e in [e for e in self.held if e[0] in second.up and e[1] in second.up and second.find(e[0]) == second.find(e[1])]]
+        return out
+
+    def settle(self) -> None:
+        ids = sorted(self.sets[0].up)
+        self.ids, self.roots, self.vain = np.array(ids), [np.array([s.find(n) if n in s.up else n for n in ids]) for s in self.sets], 0
+
+
 def _thinned(batches, forests: int):
-    import pandas as pd
+    import pyarrow as pa
 
     held: dict = {}
-    for pdf in batches:
-        kept = []
-        for i, (graph, a, b) in enumerate(zip(pdf["graph_id"].tolist(), pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)):
-            sets = held.get(graph)
-            if sets is None:
-                sets = held[graph] = [K.Sets(()) for _ in range(forests)]
-            if any(s.link(a, b) for s in sets):
-                kept.append(i)
-        yield pdf.iloc[kept]
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(schema.types)], schema.names)
+
+    for batch in batches:
+        schema = batch.schema
+        graphs = batch.column(0).dictionary_encode("encode")
+        number = graphs.indices.to_numpy(zero_copy_only=False)
+        edge = [batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)]
+        order, out = np.argsort(number, kind="stable"), []
+        for graph, own in zip(graphs.dictionary.to_pylist(), np.split(order, np.cumsum(np.bincount(number))[:-1]), strict=True) if len(order) else ():
+            if graph not in held:
+                held[graph] = _Forests(forests)
+            out += [(graph, *e) for e in held[graph].grow(*(x[own] for x in edge))]
+        yield made(out)
+    rest = ((graph, *e, w) for graph, f in held.items() for e, w in f.held.items())
+    while out := list(islice(rest, 10_000)):
+        yield made(out)
 
 
 def thinned(edges: DataFrame, forests: int = 1) -> DataFrame:
-    """Edges that hold the graph together as all do: those of `forests` disjoint spanning forests, of what a task has at hand,
-    of each of SLICES parts of a graph, and last of the graph. One forest keeps the components; two, of edges without
-    parallels, keep the cut edges too. At most `forests` edges a node are left; edges stream by, a task holds labels of nodes."""
+    """Edges that hold the graph together as all do: those of one or two disjoint spanning forests, of what a task has at hand,
+    of each of SLICES parts of a graph, and last of the graph. One forest keeps the components; two keep the cut edges too,
+    with the least length of their parallels (which count as one edge). At most `forests` edges a node are left; edges stream
+    by, a task holds labels of nodes and the edges that may be cut edges."""
     schema = f"graph_id {dict(edges.dtypes)['graph_id']}, src {dict(edges.dtypes)['src']}, dst {dict(edges.dtypes)['dst']}, length double"
     run = partial(_thinned, forests=forests)
-    e = edges.select("graph_id", "src", "dst", F.col("length").cast("double").alias("length"))
-    if forests == 1:
-        e = e.mapInPandas(run, schema)
-    # an edge's part hangs on its smaller end, so that parallel edges meet
-    e = e.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "length")
-    e = e.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(SLICES))).repartition("graph_id", "part")
-    if forests > 1:
-        e = e.groupBy("graph_id", "part", "src", "dst").agg(F.min("length").alias("length"))
-    parts = e.select("graph_id", "src", "dst", "length").mapInPandas(run, schema)
-    return parts.repartition("graph_id").mapInPandas(run, schema)
+    e = edges.select("graph_id", "src", "dst", F.col("length").cast("double").alias("length")).mapInArrow(run, schema)
+    parts = e.repartition("graph_id", F.pmod(F.xxhash64("src"), F.lit(SLICES))).mapInArrow(run, schema)
+    return parts.repartition("graph_id").mapInArrow(run, schema)
 
 
 def has_large(nodes: DataFrame, most: int = LARGE) -> bool:
@@ -413,8 +463,11 @@ def _cuts(batches, gap: float, k: int, seed: int):
 
 
 def damage(nodes: DataFrame, edges: DataFrame, gap: float, k: int, seed: int = 42):
-    """(nodes, edges) without up to k cut edges no longer than gap, and without nodes left bare."""
-    cut = pack(nodes, thinned(edges, 2)).mapInPandas(partial(_cuts, gap=gap, k=k, seed=seed), f"graph_id {dict(nodes.dtypes)['graph_id']}, src long, dst long")
+    """(nodes, edges) without up to k cut edges no longer than gap, and without nodes left bare. The cut edges are looked for
+    when called, once for all uses of the graph that is left."""
+    cut = pack(nodes, thinned(edges, 2)).mapInPandas(partial(_cuts, gap=gap, k=k, seed=seed), f"graph_id {dict(nodes.dtypes)['graph_id']}, src long, dst long").checkpoint()
+    if cut.count() <= FEW_CUTS:  # so the edges needn't be shuffled to find them
+        cut = F.broadcast(cut)
     lo_hi = edges.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
     left = lo_hi.join(cut.withColumnsRenamed({"src": "lo", "dst": "hi"}), ["graph_id", "lo", "hi"], "left_anti").select(*edges.columns)
     used = left.select("graph_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()

@@ -458,6 +458,63 @@ def test_damage_of_a_graph_of_many_edges_cuts_what_the_whole_graph_would(spark,
     assert {(min(r.src, r.dst), max(r.src, r.dst)) for r in left.collect()} == {(min(x[:2]), max(x[:2])) for x in edges} - cut
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_damage_looks_for_cut_edges_once_and_shuffles_few_edges(spark):
+    n, e = spark.createDataFrame([("g", i, 0.0, 0.0) for i in range(4)], NODES), spark.createDataFrame([("g", 0, 1, 9.0), ("g", 1, 2, 9.0), ("g", 1, 2, 8.0)], EDGES)
+    kept, left = G.damage(n, e, 40.0, 1)
+    # each use of what is left searched all edges anew
+    assert not any("MapIn" in executed(df) for df in (kept, left))
+    assert left.count() in (1, 2) and kept.count() == 2
+    # all edges were summed by their ends, so all went through a shuffle
+    assert "Aggregate" not in executed(G.thinned(e, 2))
+
+
+def arrow_edges(rows, size):
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()]
+    for k in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : k + size]], kind) for i, kind in enumerate(kinds)], ["graph_id", "src", "dst", "length"])
+
+
+def thin(rows, size, forests):
+    return [tuple(r.values()) for b in G._thinned(arrow_edges(rows, size), forests) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("forests", [1, 2])
+def test_thinned_edges_hold_a_graph_as_all_do(forests):
+    rng = np.random.default_rng(3)
+    cuts = 0
+    for _ in range(60):
+        n = int(rng.integers(2, 30))
+        rows = [("g", int(a), int(b), float(w)) for a, b, w in rng.integers(0, n, (int(rng.integers(0, 60)), 3))]
+        rows += [("g", int(a), int(b), float(w)) for a, b, w in rng.integers(0, n // 2 + 1, (int(rng.integers(0, 120)), 3))]
+        rows = [rows[i] for i in rng.permutation(len(rows))] + [("other", 0, 1, 1.0)]
+        some = [r for k in range(3) for r in thin(rows[k::3], 9, forests)]
+        got = [r[1:] for r in thin(some, 7, forests) if r[0] == "g"]
+        edges = [r[1:] for r in rows if r[0] == "g"]
+        assert len(got) <= forests * (n - 1) and K.labels(range(n), got) == K.labels(range(n), edges)
+        if forests == 2:
+            want = K.adjacency(edges)
+            cuts += len(K.bridges(want))
+            left = K.adjacency(got)
+            assert [(e, left[e[0]][e[1]]) for e in K.bridges(left)] == [(e, want[e[0]][e[1]]) for e in K.bridges(want)]
+    assert forests == 1 or cuts > 60
+
+
+@pytest.mark.parametrize("forests", [1, 2])
+def test_edges_within_a_tree_go_without_a_loop(forests, monkeypatch):
+    calls = []
+    link = K.Sets.link
+    monkeypatch.setattr(K.Sets, "link", lambda self, a, b: calls.append(a) or link(self, a, b))
+    rows = [("g", int(a), int(b), 1.0) for a, b in np.random.default_rng(4).integers(0, 40, (20_000, 2))]
+    assert len(thin(rows, 500, forests)) == 39 * forests
+    assert len(calls) < 3_000  # 20,000 at least before
+
+
 def events(folder, kinds):
     """Events of types whose masks are empty ("flat"), or set in the truth or the prediction alone."""
     import pyarrow as pa
