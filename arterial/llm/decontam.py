@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of WINDOW words at steps of half a window; benchmark items are cut into query windows. Both are
-TF-IDF vectors over hashed words. Weights come from passage counts over all documents. A randomised SVD (Halko et al.
+TF-IDF vectors over hashed words. Weights come from counts of all passages of all documents. A randomised SVD (Halko et al.
 2011) gives the latent space: each partition of the query windows makes its part of A^T (A Q), and one executor task adds
 the parts and orthonormalises the FEATURES x RANK result. It is fitted on the windows of all benchmark items, nothing else:
 it holds what tells items apart. Every passage of every document is projected and compared with every query by cosine.
@@ -68,6 +68,23 @@ def windows(counts: np.ndarray):
     return text, first, np.minimum(first + WINDOW, ends[text])
 
 
+def passage_counts(feature: np.ndarray, doc: np.ndarray, counts: np.ndarray):
+    """(passages that hold each feature, all passages): every one of windows(), by blocks of STEP words. A passage is two blocks
+    that follow each other, or a text's only one."""
+    blocks = -(-counts // STEP)
+    begins = np.cumsum(blocks + 1) - blocks - 1  # a number is left out after each text
+    lies_in = np.full(int((blocks + 1).sum()), 2)
+    some = np.flatnonzero(blocks)
+    lies_in[begins[some]] = lies_in[begins[some] + blocks[some] - 1] = 1
+    block = begins[doc] + (np.arange(len(feature)) - (np.cumsum(counts) - counts)[doc]) // STEP
+    key = np.sort(feature << 40 | block)
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    f = key >> 40
+    both = f[1:][np.diff(key) == 1]  # a passage of two blocks that hold it was counted by each
+    total = np.bincount(f, lies_in[key & ((1 << 40) - 1)], FEATURES).astype(np.int64) - np.bincount(both, minlength=FEATURES)
+    return total, int(np.maximum(blocks[some] - 1, 1).sum())
+
+
 def _counted(batches):
     """Passages by feature, as (feature, count) rows; feature -1 counts passages."""
     import pyarrow as pa
@@ -77,17 +94,12 @@ def _counted(batches):
     for batch in batches:
         texts = text_column(batch.column(0))
         for first, last in slices(texts):
-            feature, _, counts = hashed(*text_bytes(texts.slice(first, last - first)))
+            feature, doc, counts = hashed(*text_bytes(texts.slice(first, last - first)))
             if not len(feature):
                 continue
-            # a block of STEP words lies in about two windows; counting blocks halves the work and keeps the shares
-            doc_begin = np.repeat(np.cumsum(counts) - counts, counts)
-            block = (np.arange(len(feature)) - doc_begin) // WINDOW
-            owner = np.cumsum(np.concatenate(([0], (np.diff(block) != 0) | (np.diff(doc_begin) != 0))))
-            key = np.sort(owner << BITS | feature)
-            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-            total += np.bincount(key & (FEATURES - 1), minlength=FEATURES)
-            passages += int(owner[-1]) + 1
+            times, own = passage_counts(feature, doc, counts)
+            total += times
+            passages += own
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, [-1]))), pa.array(np.concatenate((total[at], [passages])))], ["feature", "n"])
 
@@ -101,7 +113,7 @@ def inverse_frequencies(rows) -> np.ndarray:
         else:
             df[f] = c
     idf = np.log((n + 1) / (df + 1))
-    idf[df > max(COMMON * n, 3)] = 0
+    idf[df > max(COMMON * n, 6)] = 0  # a word lies in two passages, so three places are never common
     return np.maximum(idf, 0)
 
 
@@ -186,12 +198,12 @@ def _orthonormal(batches, rank: int):
     yield pa.RecordBatch.from_arrays([pa.array([q.astype("<f4").tobytes()], pa.binary())], ["basis"])
 
 
-def latent_space(spark, sample, weight: np.ndarray, rank: int = RANK, rounds: int = 2, seed: int = 11) -> np.ndarray:
+def latent_space(spark, query_rows, weight: np.ndarray, rank: int = RANK, rounds: int = 2, seed: int = 11) -> np.ndarray:
     """FEATURES x rank orthonormal basis of the leading right singular vectors, by randomised subspace iteration."""
     q = np.random.default_rng(seed).standard_normal((FEATURES, rank), np.float32)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((q, weight))
-        parts = sample.mapInArrow(partial(_gram, shared=shared), "part binary").repartition(1)
+        parts = query_rows.mapInArrow(partial(_gram, shared=shared), "part binary").repartition(1)
         got = parts.mapInArrow(partial(_orthonormal, rank=rank), "basis binary").collect()
         shared.destroy()
         if not got:
@@ -429,7 +441,7 @@ def find_leaks(spark, docs, benchmark, rank: int = RANK, cosine: float = COSINE,
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     counted = two.select("text").mapInArrow(_counted, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     weight = inverse_frequencies([(r["feature"], r["n"]) for r in counted])
-    sample = materialize(spark, items.select("text").mapInArrow(_query_rows, "features binary, times double").repartition(FIT_PARTS), "windows")
+    query_rows = materialize(spark, items.select("text").mapInArrow(_query_rows, "features binary, times double").repartition(FIT_PARTS), "windows")
     basis, result, spent = None, None, []
     for taken in _passes(items):
         short = [(key, words, f.tolist()) for key, words, f in taken if len(words) < LEAST_ITEM]
@@ -438,12 +450,12 @@ def find_leaks(spark, docs, benchmark, rank: int = RANK, cosine: float = COSINE,
         if short:
             found.append(two.mapInArrow(partial(_search_short, items=short), SCHEMA))
         if long:
-            basis = latent_space(spark, sample, weight, rank) if basis is None else basis
+            basis = latent_space(spark, query_rows, weight, rank) if basis is None else basis
             spent.append(spark.sparkContext.broadcast((basis, weight, _blocks(long, basis, weight, exact), cosine, lcs, paraphrase)))
             found.append(two.mapInArrow(partial(_search, shared=spent[-1]), SCHEMA))
         for one in found:
             result = one if result is None else result.unionByName(one)
-    discard(spark, sample)
+    discard(spark, query_rows)
     return spark.createDataFrame([], SCHEMA) if result is None else attach(result, *spent)
 
 

@@ -791,3 +791,24 @@ def test_the_latent_space_is_fitted_on_the_whole_benchmark_and_no_sample(spark,
     found = D.find_leaks(spark, docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(4)}
     assert [t.count() for t in seen.values()] == [sum(len(D.query_windows(10 + 30 * i)) for i in range(4))]
+
+
+def test_weights_are_counted_over_every_passage():
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        counts = rng.integers(0, 150, int(rng.integers(1, 6)))
+        feature, doc = rng.integers(0, 40, counts.sum()), np.repeat(np.arange(len(counts)), counts)
+        if len(feature):
+            _, a, b = D.windows(counts)
+            want = np.zeros(D.FEATURES, np.int64)
+            for i, j in zip(a, b, strict=True):
+                want[np.unique(feature[i:j])] += 1
+            got, n = D.passage_counts(feature, doc, counts)
+            assert n == len(a) and (got == want).all()
+
+
+def test_counted_rows_hold_the_passages_between():
+    # words 16 to 48 are a passage too: 80 words make four passages, not three
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [dict(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in D._counted(iter([pa.RecordBatch.from_arrays([pa.array([text, None, ""])], ["text"])]))]
+    assert rows[0][-1] == 4 and sum(n for f, n in rows[0].items() if f >= 0) == 4 * 32
