@@ -40,8 +40,8 @@ SHARD_SCHEMA = "part int, shard int, first_token long, n_docs long, n_tokens lon
 
 
 def _grouped(left: np.ndarray, right: np.ndarray, place: np.ndarray):
-    """(places by pair, in ascending order within each; first place of each group; last place + 1) of adjacent symbols."""
-    wide, deep = max(int(left.max()), int(right.max())).bit_length(), max(1, int(place[-1]).bit_length())
+    """(places by pair, in ascending order within each; first place of each group; places of it) of adjacent symbols."""
+    wide, deep = max(int(left.max()), int(right.max())).bit_length(), max(1, int(place.max()).bit_length())
     if 2 * wide + deep <= 64:  # pair and place in one number: one sort gives both
         key = left.astype(np.uint64)
         key <<= np.uint64(wide)
@@ -53,45 +53,46 @@ def _grouped(left: np.ndarray, right: np.ndarray, place: np.ndarray):
         key >>= np.uint64(deep)
     else:
         key = left.astype(np.uint64) << np.uint64(32) | right
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((place, key))
         key, at = key[order], place[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return at, first, np.append(first[1:], len(at))
+    return at, first, np.diff(first, append=len(at))
 
 
 def repair(ids: np.ndarray, base: int):
     """(symbols, rules, rules by round): rule k stands for the pair of symbol base + k. Symbols are unsigned 32-bit.
 
-    Symbols stay at their places and are linked; a round looks only at places whose pair occurs twice or is new. A pair
-    that occurs once never comes to occur again: every later pair holds a new symbol.
+    Symbols stay at their places and are linked. Places are held by pair, for pairs that occur twice; a round sorts only the
+    places it gave another pair, and takes them out of where they were. That is all, as a pair that holds a new symbol is none
+    of the earlier ones: those only lose places, and one that occurs once never comes to occur again.
     """
     n = len(ids)
     seq = np.append(ids, [0]).astype(np.uint32)
     after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n ends the sequence
-    look = np.ones(n + 1, bool)
-    look[max(n - 1, 0) :] = False
+    stale = np.zeros(n + 1, bool)  # places that a round gave another pair or none, while it lasts
     claim = np.zeros(n + 2, np.int32)  # rank of the pair at a place, while a round lasts; the last two are no places
     rules: list[np.ndarray] = []
     made, least = 0, 1 << 32
     spoilt = False  # whether the last round found pairs of which none could be replaced twice
+    at, count, pairs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint32)  # places by pair, their number, its symbols
+    new = np.arange(n - 1)
     while True:
-        place = np.flatnonzero(look)
-        if len(place) < 2:
+        if len(new):
+            found, first, size = _grouped(seq[new], seq[after[new]], new)
+            many = size >= 2
+            first = found[first[many]]
+            at, count = np.concatenate((at, found[np.repeat(many, size)])), np.concatenate((count, size[many]))
+            pairs = np.concatenate((pairs, np.stack((seq[first], seq[after[first]]), 1)))
+        if not len(count):
             break
-        at, first, end = _grouped(seq[place], seq[after[place]], place)
-        count = end - first
         top = int(count.max())
-        if top < 2:
-            break
-        once = count < 2
-        look[at[first[once]]] = False
         least = 2 if spoilt else max(2, min(top, least) // 4)
         chosen = np.flatnonzero(count >= least)
-        size = count[chosen]
+        size, pair = count[chosen], pairs[chosen]
         place = at[np.repeat(count >= least, count)]
         group = np.repeat(np.arange(len(chosen)), size)
         # of x x x every second pair counts, from the left
-        twin = np.flatnonzero(seq[place] == seq[after[place]])
+        twin = np.flatnonzero(np.repeat(pair[:, 0] == pair[:, 1], size))
         if len(twin):
             p, g = place[twin], group[twin]
             fresh = np.concatenate(([True], (p[1:] != after[p[:-1]]) | (g[1:] != g[:-1])))
@@ -101,8 +102,6 @@ def repair(ids: np.ndarray, base: int):
             place, group = place[keep], group[keep]
             size = np.bincount(group, minlength=len(chosen))
         # the more frequent pair goes first; by a hash, a run of equally frequent ones is cut in many places at once
-        start = at[first[chosen]]
-        pair = np.stack((seq[start], seq[after[start]]), 1)
         mixed = (pair[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ pair[:, 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
         rank = np.empty(len(chosen), np.int32)
         rank[np.lexsort((mixed, size))] = np.arange(1, len(chosen) + 1)
@@ -118,7 +117,7 @@ def repair(ids: np.ndarray, base: int):
         if not len(place):
             if spoilt:
                 break
-            spoilt = True
+            spoilt, new = True, new[:0]
             continue
         spoilt = False
         used = np.flatnonzero(uses >= 2)
@@ -128,15 +127,22 @@ def repair(ids: np.ndarray, base: int):
         made += len(used)
         seq[place] = number[group]
         gone = after[place]
-        look[gone] = False
         rest = after[gone]
         after[place], before[rest] = rest, place
-        # a place before a replaced one may have gone itself, where two replaced pairs touch
         near = before[place]
-        look[near[near >= 0]] = True
-        look[place] = True
-        look[place[rest >= n]] = False
         after[gone] = -2
+        # of two replaced pairs that touch, the first is the place before the second
+        stale[place] = True
+        near = near[near >= 0]
+        near = near[~stale[near]]
+        stale[near] = stale[gone] = True
+        kept = ~stale[at]
+        stale[place] = stale[near] = stale[gone] = False
+        new = np.concatenate((near, place[rest < n]))
+        left = np.add.reduceat(kept, np.cumsum(count) - count, dtype=np.int64)
+        many = left >= 2
+        at, pairs = at[kept & np.repeat(many, count)], pairs[many]
+        count = left[many]
     alive = after[:n] >= 0
     rounds = np.array([len(r) for r in rules], np.int64)
     return seq[:n][alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), rounds

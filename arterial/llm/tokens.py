@@ -20,8 +20,9 @@ CACHE_ENTRIES = 400_000
 _SIMPLE = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 # A word with the space before it, ended by white space or one mark; that mark; any other run; white space.
 _BYTE_CHUNK = re.compile(r" ?[^\W\d_]+(?=[.,]?(?:\s|$))|[.,](?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
-# Such a word with ASCII marks after it, of which none is an apostrophe.
-_MARKED = re.compile("(" + _SIMPLE.pattern + ")([!-&(-/:-@\\[-^`{-~]+)")
+# Such a word, with or without ASCII marks after it, of which none is an apostrophe.
+_MARKED = re.compile("(" + _SIMPLE.pattern + ")([!-&(-/:-@\\[-^`{-~]+)?")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 # The same without white space, which that vocabulary drops.
 _WORD_CHUNK = re.compile(r"[^\W\d_]+(?=[.,]?(?:\s|$))|[.,](?=\s|\Z)|\S+")
 # Python takes these for white space; the library doesn't.
@@ -61,6 +62,21 @@ def _latin(text: str) -> bool:
     return True
 
 
+class _Table(dict):
+    """What the encoder cuts chunks to, with `before` in front of each. One that isn't there is cut when it is looked up, so
+    there is one lookup a chunk; once the encoder is full, it is held for a batch only."""
+
+    def __init__(self, encoder: ChunkEncoder, before: str = ""):
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, chunk: str):
+        found = self.encoder._cut(self.before + chunk)
+        if self.encoder.full():
+            self.encoder.passing.append((self, chunk))
+        self[chunk] = found
+        return found
+
+
 class ChunkEncoder:
     """ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -74,8 +90,8 @@ class ChunkEncoder:
         self.words = self.tokenizer.normalizer is not None
         self.chunks = _WORD_CHUNK if self.words else _BYTE_CHUNK
         self.letters = {b: chr(c) for b, c in _byte_letters().items()}
-        self.cache: dict = {}
-        self.spaced: dict = {}
+        self.cache = _Table(self)
+        self.spaced = _Table(self, " ")
         self.passing: list = []
 
     def whole(self, text: str) -> bool:
@@ -84,30 +100,31 @@ class ChunkEncoder:
 
     def _cut(self, chunk: str) -> bytes:
         """ids of a chunk; letters and the marks after them are encoded apart, as both vocabularies split them."""
-        if _SIMPLE.fullmatch(chunk):
-            word = chunk.lower() if self.words else chunk
-            word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            if word[0] == " ":
-                word = "\u0120" + word[1:]
-            return array("I", [t.id for t in self.merge(word)]).tobytes()
-        if both := _MARKED.fullmatch(chunk):
-            return self._known(both[1]) + self._known(both[2])
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if chunk.isascii() and (word := chunk.rstrip(_MARKS)).isalpha():  # most are; the pattern tells the same, but slower
+            marks = chunk[len(word) :]
+        elif both := _MARKED.fullmatch(chunk):
+            word, marks = both.groups()
+        else:
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if marks:
+            return self._known(word) + self._known(marks)
+        if self.words:
+            word = word.lower()
+        if not word.isalpha() or not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(word)]).tobytes()
+
+    def full(self) -> bool:
+        return len(self.cache) + len(self.spaced) >= CACHE_ENTRIES
 
     def _known(self, chunk: str) -> bytes:
         found = self.cache.get(chunk)
         if found is None:
             found = self._cut(chunk)
-            if len(self.cache) < CACHE_ENTRIES:
+            if not self.full():
                 self.cache[chunk] = found
         return found
 
-    def _learn(self, table: dict, missing: set, before: str = "") -> None:
-        if len(self.cache) + len(self.spaced) + len(missing) > CACHE_ENTRIES:
-            self.passing += [(table, c) for c in missing]
-        for chunk in missing:
-            table[chunk] = self._cut(before + chunk)
-
     def _forget(self) -> None:
         for table, chunk in self.passing:
             table.pop(chunk, None)
@@ -129,13 +146,10 @@ class ChunkEncoder:
         out = []
         for line in text.split("\n"):
             first, *rest = line.split(" ")
-            out.append(self._known(first) + self._join(self.spaced, rest, " "))
+            out.append(self._known(first) + self._join(self.spaced, rest))
         return self._known("\n").join(out)
 
-    def _join(self, table: dict, chunks, before: str = "") -> bytes:
-        missing = set(chunks).difference(table)
-        if missing:
-            self._learn(table, missing, before)
+    def _join(self, table: _Table, chunks) -> bytes:
         return b"".join(map(table.__getitem__, chunks))
 
 
@@ -158,9 +172,6 @@ class OffsetEncoder(ChunkEncoder):
         chunks = self.chunks.findall(text)
         if not chunks:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        missing = {c for c in chunks if c not in self.cache}
-        if missing:
-            self._learn(self.cache, missing)
         counts, sizes, flat = zip(*map(self.cache.__getitem__, chunks), strict=True)
         counts, sizes = np.array(counts), np.array(sizes)
         pairs = np.frombuffer(b"".join(flat), np.int32).reshape(-1, 2)

@@ -108,6 +108,35 @@ def test_repair_goes_on_until_no_pair_occurs_twice():
         assert b.n_symbols < 5 and len(b.rules) < 1010 and (b.decode() == np.tile(phrase, times)).all()
 
 
+def test_repair_sorts_only_places_of_new_pairs(monkeypatch):
+    sizes, sort = [], repair._grouped
+    monkeypatch.setattr(repair, "_grouped", lambda left, right, place: (sizes.append(len(place)), sort(left, right, place))[1])
+    ids = (np.random.default_rng(7).zipf(1.3, 60_000) % 5000).astype(np.uint32)
+    seq, rules, rounds = repair.repair(ids, 5000)
+    # a replaced pair makes two new ones at most: its own place's and the one before
+    replaced = len(ids) - len(seq)
+    assert replaced > 0 and sum(sizes) <= len(ids) + 2 * replaced and sum(sizes[1:]) <= 2 * replaced
+    assert (block_of(ids, 5000).decode_all() == ids).all()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_are_cut_once_and_forgotten_when_full(name, monkeypatch):
+    import arterial.llm.tokens as tokens
+
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 30)
+    texts = [f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}, x{k} fin! Zu\u00df_ a_ b'." for k in range(90)] * 2
+    e, o = ChunkEncoder(tokenizer_path(name)), OffsetEncoder(tokenizer_path(name))
+    whole = [e.tokenizer.encode(t, add_special_tokens=False) for t in texts]
+    cut, seen = e._cut, []
+    monkeypatch.setattr(e, "_cut", lambda chunk: (seen.append(chunk), cut(chunk))[1])
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [w.ids for w in whole]
+    assert seen.count("x80") + seen.count(" x80") == 1  # held for the batch, though the table is full
+    assert [list(zip(*map(list, s), strict=True)) for s in o.spans(texts)] == [[tuple(x) for x in w.offsets] for w in whole]
+    for x in (e, o):
+        x.encode([])
+        assert len(x.cache) + len(x.spaced) <= 30
+
+
 def test_repair_keeps_large_vocabularies():
     rng = np.random.default_rng(2)
     for base in (65530, 80_000, 1 << 24, 1 << 30):
